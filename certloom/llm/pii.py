@@ -23,6 +23,8 @@ ANY = "|".join(PATTERNS.values())
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Days of the 400-year Gregorian cycle from 1800-01-01, as an exact product of two radices.
 CYCLE_START, CYCLE_RADICES = "1800-01-01", (189, 773)
+#: Steps of a cycle walk that keeps dd/MM/yyyy dates among those with a day over 12; 0.4^64 miss.
+WALK = 64
 
 
 def _prf(key: Column, tweak: Column, turn: Column, value: Column) -> Column:
@@ -168,16 +170,26 @@ def _date(value: Column, key: Column, back: bool) -> Column:
     radices = [F.lit(x).cast("long") for x in CYCLE_RADICES]
     start = F.lit(CYCLE_START).cast("date")
 
-    def moved(form: str) -> tuple[Column, Column]:
-        day = F.try_to_timestamp(value, F.lit(form)).cast("date")
-        n = F.datediff(day, start).cast("long")
+    def step(n: Column, form: str) -> Column:
         out = feistel(F.call_function("div", n, radices[1]), F.pmod(n, radices[1]), *radices, key, F.lit(f"date {form}"), back)
-        new = F.date_add(start, (out["a"] * radices[1] + out["b"]).cast("int"))
-        return day.isNotNull() & n.between(0, CYCLE_RADICES[0] * CYCLE_RADICES[1] - 1), F.date_format(new, form)
+        return out["a"] * radices[1] + out["b"]
 
-    (iso, iso_new), (us, us_new), (dot, dot_new) = moved("yyyy-MM-dd"), moved("MM/dd/yyyy"), moved("dd.MM.yyyy")
-    # day/month readings swap the fields, move, and swap back; they never meet the month/day ones' tweak
-    eu, eu_new = moved("dd/MM/yyyy")
+    def moved(form: str, walk: bool = False) -> tuple[Column, Column]:
+        day = F.try_to_timestamp(value, F.lit(form)).cast("date")
+        n = F.datediff(day, start).cast("long")
+        to = step(n, form)
+        if walk:  # on until the day is over 12 again: the permutation stays among such dates
+            to = F.aggregate(
+                F.array_repeat(F.lit(form), WALK),
+                to,
+                lambda at, _: F.when(F.dayofmonth(F.date_add(start, at.cast("int"))) > 12, at).otherwise(step(at, form)),
+            )
+        good = day.isNotNull() & n.between(0, CYCLE_RADICES[0] * CYCLE_RADICES[1] - 1)
+        return good, F.date_format(F.date_add(start, to.cast("int")), form)
+
+    (iso, iso_new), (us, us_new), (dot, dot_new), (eu, eu_new) = (
+        moved("yyyy-MM-dd"), moved("MM/dd/yyyy"), moved("dd.MM.yyyy"), moved("dd/MM/yyyy", walk=True)
+    )
     out = F.when(value.rlike("-"), F.when(iso, iso_new)).when(value.contains("."), F.when(dot, dot_new))
     return F.coalesce(out.otherwise(F.when(us, us_new).when(eu, eu_new)), value)
 
