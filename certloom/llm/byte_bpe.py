@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,14 +210,13 @@ def encode_documents(docs: DataFrame, encoder: Encoder) -> DataFrame:
     return kept.mapInArrow(encode, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
-    return encoded.select(
-        "doc_id",
+def digests() -> list[Column]:
+    """Of encoded documents: n_tokens and the SHA-256 of the ids and of the decoded bytes."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
 
 
 def public_encoder() -> Encoder:
@@ -229,4 +228,4 @@ def public_encoder() -> Encoder:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode_documents(docs, public_encoder()))
+    return encode_documents(docs, public_encoder()).select("doc_id", *digests())

@@ -266,25 +266,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: its columns, class_id, n_links, n_link_texts.
-
-    Two documents are linked if the Jaccard similarity of their sets of five-word shingles is
-    at least `similarity` (words: runs of letters and digits, in lower case). class_id is the
-    least doc_id of the connected documents, n_links the number of other documents linked to this
-    one, n_link_texts the number of other shingle sets among them.
-
-    Null, empty and wordless texts have no shingles: no links, a class of their own. A text of
-    fewer than five words is one shingle. Documents with equal sets are one vertex, so copies cost
-    one row each, however many. Rows with a null doc_id are left alone: their class_id is null.
-    Rows that share a doc_id and a text are one document; with different texts the row's class is
-    that of its own text. Columns of docs with the results' names are replaced.
-
-    Paths of sampled tokens are computed with the set, so splitting a bucket moves only keys; sets
-    travel once for each bucket that has other members than an earlier one. Buckets that the paths
-    do not split (copies with small edits) are compared in tiles, so no task holds a whole group,
-    and give sums and a spanning forest, never their pairs.
-    """
+def _judged(docs: DataFrame, similarity: float) -> DataFrame:
+    """row, doc_id, th and, of rows with shingles, class_id, is_first, n_links, n_link_texts."""
     runs = runs_needed(similarity)
     base = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
     readable = base.select("doc_id", "th", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -313,16 +296,45 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .join(degrees, "rep", "left")
         .withColumn("root", F.coalesce("root", "rep"))
     )
-    classes = known.groupBy("root").agg(F.min("first.doc_id").alias("class_id"))
+    classes = known.groupBy("root").agg(F.min("first").alias("head"))
     verdicts = known.join(classes, "root").select(
         *same,
-        "class_id",
+        "head",
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_link_texts"),
     )
-    by_doc = members.join(verdicts, same).select(F.col("at.doc_id").alias("k_id"), F.col("at.th").alias("k_th"), "class_id", "n_links", "n_link_texts")
+    by_doc = members.join(verdicts, same).select(
+        F.col("at.doc_id").alias("k_id"),
+        F.col("at.th").alias("k_th"),
+        F.col("head.doc_id").alias("class_id"),
+        (F.col("head") == F.col("at")).alias("is_first"),
+        "n_links",
+        "n_link_texts",
+    )
+    return base.drop("text").join(by_doc, (F.col("doc_id") == F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row of docs: its columns, class_id, n_links, n_link_texts.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word shingles is
+    at least `similarity` (words: runs of letters and digits, in lower case). class_id is the
+    least doc_id of the connected documents, n_links the number of other documents linked to this
+    one, n_link_texts the number of other shingle sets among them.
+
+    Null, empty and wordless texts have no shingles: no links, a class of their own. A text of
+    fewer than five words is one shingle. Documents with equal sets are one vertex, so copies cost
+    one row each, however many. Rows with a null doc_id are left alone: their class_id is null.
+    Rows that share a doc_id and a text are one document; with different texts the row's class is
+    that of its own text. Columns of docs with the results' names are replaced.
+
+    Paths of sampled tokens are computed with the set, so splitting a bucket moves only keys; sets
+    travel once for each bucket that has other members than an earlier one. Buckets that the paths
+    do not split (copies with small edits) are compared in tiles, so no task holds a whole group,
+    and give sums and a spanning forest, never their pairs.
+    """
     names = ("class_id", "n_links", "n_link_texts")
-    return base.drop("text").join(by_doc, (F.col("doc_id") == F.col("k_id")) & (F.col("th") == F.col("k_th")), "left").select(
+    return _judged(docs, similarity).select(
         *[F.col(f"row.`{c}`") for c in docs.columns if c not in names],
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -330,5 +342,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
 
 
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near_duplicates(): of the least doc_id, one of its copies.
+
+    Rows without shingles stay, one for each different doc_id and text, as do rows with a null doc_id.
+    """
+    first = _judged(docs, similarity).where(F.coalesce("is_first", F.lit(True)))
+    rows = first.groupBy("doc_id", "th").agg(F.first("row").alias("row"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
