@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from certloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, pii, quality, sharding, url_filter
+from certloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, pii, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_hypergeometric_shuffle": sharding.op3_hypergeometric_shuffle,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_temporal_url_filter": url_filter.op9_temporal_url_filter,
