@@ -173,26 +173,15 @@ def after(sort: str, descending: bool, key: str, value, key_value, kind: str | N
     return beyond | c.isNull() | ((c == v) & (k > key_value))
 
 
-def compiled(dataset: Dataset, snap: Snapshot, q: Query) -> DataFrame:
-    """All rows of a checked query, unsorted, with every column of its group."""
-    psl = session_suffixes(dataset.spark)
+def matched_names(q: Query, names: DataFrame, psl) -> DataFrame:
+    """cert_id and name of the names that the query's mode finds."""
     where = name_predicate(q, psl)
-    if q.wildcard:
-        where &= F.col("is_wildcard")
-    names = dataset.table("names", snap).where(where).select("cert_id", "name")
-    ca = find_ca(dataset, snap, q.issued_by) if q.issued_by else None
-    cert_batches = entry_batches = None
-    ids: list[int] = []
-    if not q.full_scan:
-        # a first, narrow query: selective modes match few certificates, whose ids prune everything else
-        ids = [r[0] for r in names.select("cert_id").distinct().limit(LITERAL_IDS + 1).collect()]
-        if len(ids) <= LITERAL_IDS:
-            cert_batches, entry_batches = batches_for(snap, ids)
-    few = cert_batches is not None
-    certs, entries = dataset.table("certs", snap, cert_batches), dataset.table("entries", snap, entry_batches)
-    matched = names.select("cert_id").distinct()
-    narrow = (lambda df: df.where(F.col("cert_id").isin(ids))) if few else (lambda df: df.join(matched, "cert_id", "left_semi"))
-    certs = narrow(certs).where(F.col("kind").isin(q.kinds))
+    return names.where(where & F.col("is_wildcard") if q.wildcard else where).select("cert_id", "name")
+
+
+def filtered(q: Query, names: DataFrame, certs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows of a checked query over matched names and the certificates and entries that can belong to them."""
+    certs = certs.where(F.col("kind").isin(q.kinds))
     for column, value in (("issuer_cn", q.issuer), ("issuer_o", q.issuer_org)):
         if value:
             certs = certs.where(F.lower(column) == value.lower())
@@ -201,7 +190,6 @@ def compiled(dataset: Dataset, snap: Snapshot, q: Query) -> DataFrame:
             certs = certs.where(F.col(column) == value)
     if q.valid_at:
         certs = certs.where((F.col("not_before") <= _at(q.valid_at)) & (_at(q.valid_at) < F.col("not_after")))
-    entries = narrow(entries)
     entry_filter = bool(q.log)
     if q.log:
         entries = entries.where(F.col("log") == q.log)
@@ -210,9 +198,29 @@ def compiled(dataset: Dataset, snap: Snapshot, q: Query) -> DataFrame:
             certs = certs.where(getattr(F.col("not_before"), test)(_at(t)))
         elif t:
             entries, entry_filter = entries.where(getattr(F.col("ct_ts"), test)(_at(t))), True
+    return grouped(q, names, certs, entries, entry_filter)
+
+
+def compiled(dataset: Dataset, snap: Snapshot, q: Query) -> DataFrame:
+    """All rows of a checked query, unsorted, with every column of its group."""
+    names = matched_names(q, dataset.table("names", snap), session_suffixes(dataset.spark))
+    ca = find_ca(dataset, snap, q.issued_by) if q.issued_by else None
+    cert_batches = entry_batches = None
+    ids: list[int] = []
+    if not q.full_scan:
+        # a first, narrow query: selective modes match few certificates, whose ids prune everything else
+        ids = [r[0] for r in names.select("cert_id").distinct().limit(LITERAL_IDS + 1).collect()]
+        if len(ids) <= LITERAL_IDS:
+            cert_batches, entry_batches = batches_for(snap, ids)
+    certs, entries = dataset.table("certs", snap, cert_batches), dataset.table("entries", snap, entry_batches)
+    if cert_batches is not None:
+        certs, entries = certs.where(F.col("cert_id").isin(ids)), entries.where(F.col("cert_id").isin(ids))
+    else:
+        matched = names.select("cert_id").distinct()
+        certs, entries = certs.join(matched, "cert_id", "left_semi"), entries.join(matched, "cert_id", "left_semi")
     if ca is not None:
         certs = issued_by(certs, ca, dataset.table("entries", snap), dataset.table("chains", snap))
-    return grouped(q, names, certs, entries, entry_filter)
+    return filtered(q, names, certs, entries)
 
 
 def search(dataset: Dataset, snap: Snapshot, q: Query) -> DataFrame:
@@ -220,11 +228,11 @@ def search(dataset: Dataset, snap: Snapshot, q: Query) -> DataFrame:
     q = q.checked()
     sort, descending = q.order
     key = GROUPS[q.group].key
-    rows = _shaped(compiled(dataset, snap, q), q).orderBy(*ordering(SORT, descending, KEY))
+    rows = shaped(compiled(dataset, snap, q), q).orderBy(*ordering(SORT, descending, KEY))
     return (rows.limit(q.limit) if q.limit else rows).drop(SORT, KEY)
 
 
-def _shaped(rows: DataFrame, q: Query) -> DataFrame:
+def shaped(rows: DataFrame, q: Query) -> DataFrame:
     """The displayed columns that pass the text filter, with sort value and key beside them."""
     sort, _ = q.order
     out = rows.select(*q.columns, F.col(sort).alias(SORT), F.col(GROUPS[q.group].key).alias(KEY))
@@ -235,7 +243,7 @@ def search_page(dataset: Dataset, snap: Snapshot, q: Query, cursor: tuple | None
     """(rows, cursor of the next page or None). Pages ignore the query's limit."""
     q = q.checked()
     _, descending = q.order
-    rows = _shaped(compiled(dataset, snap, q), q)
+    rows = shaped(compiled(dataset, snap, q), q)
     if cursor is not None:
         rows = rows.where(after(SORT, descending, KEY, *cursor, kind=dict(rows.dtypes)[SORT]))
     found = rows.orderBy(*ordering(SORT, descending, KEY)).limit(size + 1).collect()

@@ -177,7 +177,7 @@ def link_facts(entries: DataFrame) -> DataFrame:
 
 def link_report(links: DataFrame) -> DataFrame:
     """finals, linked, precert_later, eligible, and nearest-rank percentiles of the delays."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by delay_ms)").alias(f"p{int(p * 100)}")
+    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by delay_ms)").cast("long").alias(f"p{int(p * 100)}")
     ones = lambda c: F.sum(F.col(c).cast("long")).alias(c if c != "later" else "precert_later")
     return links.agg(F.count("*").alias("finals"), ones("linked"), ones("later"), ones("eligible"), disc(0.5), disc(0.95), disc(0.99))
 
