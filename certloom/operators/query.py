@@ -110,7 +110,7 @@ _TEXT_TERMS = (
 _ALIASES = {"issuer-org": "org", "key-alg": "key", "parse-status": "status"}
 _FIELD = dict(_TEXT_TERMS)
 _TIMES = {"valid-at", "since", "until"}
-_TERM = re.compile(r'(?:(?P<key>[^\s:"]*):)?(?:"(?P<quoted>(?:\\.|[^"\\])*)"(?=[ \t]|$)|(?P<plain>[^ \t"][^ \t]*)|(?P<none>(?=[ \t]|$)))')
+_TERM = re.compile(r'(?:(?P<key>[^\s:"]*):)?+(?:"(?P<quoted>(?:\\.|[^"\\])*)"(?=[ \t]|$)|(?P<plain>[^ \t"][^ \t]*)|(?P<none>(?=[ \t]|$)))')
 
 
 def _quoted(value: str) -> str:

@@ -201,7 +201,7 @@ class LogReader(DataSourceReader):
 
 
 class LogStream(LogReader, DataSourceStreamReader):
-    """Offsets are indices; a micro-batch takes maxEntriesPerTrigger entries at most."""
+    """Offsets are indices; a micro-batch takes maxEntriesPerTrigger entries at most (all there are)."""
 
     def __init__(self, options: dict):
         super().__init__(options)
@@ -213,7 +213,8 @@ class LogStream(LogReader, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         size = min(open_log(self.options).size(), int(self.options.get("end", 2**62)))
         at = self._at if self._at is not None else self.initialOffset()["idx"]
-        self._at = max(at, min(size, at + int(self.options.get("maxentriespertrigger", self.options.get("maxEntriesPerTrigger", 500_000)))))
+        most = int(self.options.get("maxentriespertrigger", self.options.get("maxEntriesPerTrigger", size)))
+        self._at = max(at, min(size, at + most))
         return {"idx": self._at}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from certloom.operators.numbering import durable
 from certloom.plans.ingest import Head, ingest_batch
 from certloom.sources.dataset import Dataset
 
+#: Entries of one committed batch.
+BATCH_SIZE = 500_000
+
 
 def follow(
     dataset: Dataset,
@@ -21,25 +25,27 @@ def follow(
     tiled: bool = False,
     every: str | None = None,
     after: Callable[[dict], None] | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> StreamingQuery:
     """Starts ingesting a stream (idx, leaf_input, extra_data).
 
     head gives the signed head and consistency proof for a batch that ends at a tree size. every:
     the trigger's interval; without it the stream ends when all that is there is ingested. after is
-    called with each manifest. A micro-batch that runs again after a failure finds its manifest and
-    changes nothing; entries already committed in part are skipped by index.
+    called with each manifest. A micro-batch becomes batches of batch_size entries; run again after
+    a failure, it skips what is committed.
     """
 
     def commit(batch: DataFrame, _: int) -> None:
         have = dataset.snapshot(allow_mixed=True)
-        fresh = batch.where(F.col("idx") >= have.next_index(log))
-        ends = fresh.agg(F.max("idx")).first()[0]
-        if ends is None:
-            return
-        signed, proof = head(ends + 1) if head else (None, None)
-        manifest = ingest_batch(dataset, fresh, log, signed, proof, tiled)
-        if after:
-            after(manifest)
+        first = have.next_index(log)
+        fresh = durable(batch.where(F.col("idx") >= first))
+        last = fresh.agg(F.max("idx")).first()[0]
+        for low in range(first, -1 if last is None else last + 1, batch_size):
+            part = fresh.where(F.col("idx").between(low, low + batch_size - 1))
+            signed, proof = head(min(low + batch_size - 1, last) + 1) if head else (None, None)
+            manifest = ingest_batch(dataset, part, log, signed, proof, tiled)
+            if after:
+                after(manifest)
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
