@@ -140,10 +140,11 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(work, "rep long, tokens binary")
 
 
-def compare(sets: list[np.ndarray], keys: np.ndarray, run: int, tile: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(sets: list[np.ndarray], keys: np.ndarray, run: int, tile: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of one bucket with the similarity that no earlier run brought together.
 
-    keys: each set's bucket in every run, 0 for none. tile: 0 or 1 for each set. In a tile pair, pairs within one tile belong to another task.
+    keys: each set's bucket in every run, 0 for none. tile: 0 or 1 for each set of two tiles, whose inner pairs belong to other
+    tasks; None for one tile.
     Intersections are counted through the sets' shared tokens: a product of incidence rows, in
     blocks of tokens.
     """
@@ -164,7 +165,7 @@ def compare(sets: list[np.ndarray], keys: np.ndarray, run: int, tile: np.ndarray
         common += m @ m.T
     union = sizes[:, None] + sizes[None, :] - common
     linked = np.triu(common >= similarity * union - 1e-6, 1)
-    if tile.any() and not tile.all():
+    if tile is not None:
         linked &= tile[:, None] != tile[None, :]
     i, j = np.nonzero(linked)
     for r in range(run):
@@ -229,7 +230,8 @@ def _links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         weights = data["weight"].to_numpy()
         sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in data["tokens"]]
         keys = np.array(data["places"].combine_chunks().flatten()).reshape(len(reps), -1)
-        i, j = compare(sets_, keys, run, data["side"].to_numpy(), similarity)
+        two = data["t1"][0] != data["t2"][0]
+        i, j = compare(sets_, keys, run, data["side"].to_numpy() if two else None, similarity)
         copies = np.bincount(i, weights[j], len(reps)) + np.bincount(j, weights[i], len(reps))
         texts = np.bincount(i, minlength=len(reps)) + np.bincount(j, minlength=len(reps))
         hit = np.flatnonzero(texts)
