@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from certloom.errors import CapError
 from certloom.sources.dataset import Dataset
 
 #: Windows and least samples of the estimates.
@@ -98,6 +99,14 @@ def peak_bytes(entries: int, vault: float, parquet: float, safety: float = 1.5)
     return min(int(entries * (vault + parquet) * safety) + (64 << 20), (1 << 64) - 1)
 
 
+def require_room(total: float, used: float, need: float, cap: float = 0.85) -> None:
+    """CapError if need more bytes would take a volume beyond cap of its total. cap is at most 0.95."""
+    if not 0 < cap <= 0.95:
+        raise CapError(f"the disk limit must be above 0 and at most 0.95, not {cap}")
+    if not total or used + need > cap * total:
+        raise CapError(f"{need:.0f} bytes more would take the volume beyond {cap:.0%} of {total:.0f}")
+
+
 def projected_cap(now: datetime, headroom: float, per_entry: float | None, remaining: int | None, rate: float | None, growth: float | None) -> tuple[datetime | None, str]:
     """When the disk limit is reached, and on what ground; None if an estimate is missing.
 

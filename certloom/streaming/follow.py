@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from certloom.errors import VerificationError
 from certloom.operators.numbering import durable
 from certloom.plans.ingest import Head, ingest_batch
 from certloom.sources.dataset import Dataset
@@ -32,9 +34,22 @@ def follow(
     head gives the signed head and consistency proof for a batch that ends at a tree size. every:
     the trigger's interval; without it the stream ends when all that is there is ingested. after is
     called with each manifest. A micro-batch becomes batches of batch_size entries; run again after
-    a failure, it skips what is committed.
+    a failure, it skips what is committed. Entries that do not match the signed head are tried once
+    more with a new head; then an incident is recorded and the stream stops.
     """
 
+    def verified(part: DataFrame, size: int) -> dict:
+        for attempt in (1, 2):
+            signed, proof = head(size) if head else (None, None)
+            try:
+                return ingest_batch(dataset, part, log, signed, proof, tiled)
+            except VerificationError as e:
+                if attempt == 2:
+                    seen = {"log": log, "size": size, "head": signed and {"size": signed.size, "root": signed.root.hex()}, "problem": str(e), "at": time.time()}
+                    dataset.store.write_json(f"incidents/{log}-{size}-{int(seen['at'])}.json", seen)
+                    raise
+        raise AssertionError
+
     def commit(batch: DataFrame, _: int) -> None:
         have = dataset.snapshot(allow_mixed=True)
         first = have.next_index(log)
@@ -42,8 +57,7 @@ def follow(
         last = fresh.agg(F.max("idx")).first()[0]
         for low in range(first, -1 if last is None else last + 1, batch_size):
             part = fresh.where(F.col("idx").between(low, low + batch_size - 1))
-            signed, proof = head(min(low + batch_size - 1, last) + 1) if head else (None, None)
-            manifest = ingest_batch(dataset, part, log, signed, proof, tiled)
+            manifest = verified(part, min(low + batch_size - 1, last) + 1)
             if after:
                 after(manifest)
 

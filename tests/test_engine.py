@@ -1,6 +1,7 @@
 """The engine over a small log: ingest, search, paging, retrieval, exports, audit, versions, streams."""
 
 import hashlib
+import io
 import json
 from datetime import datetime, timedelta
 
@@ -8,17 +9,18 @@ import certlog as log
 import pytest
 from pyspark.sql import functions as F
 
+from certloom import __main__ as command
 from certloom.engine import Engine
-from certloom.errors import DatasetError, NotFound, UsageError, VerificationError
+from certloom.errors import CapError, DatasetError, NotFound, UsageError, VerificationError
 from certloom.functions import leaf, merkle
 from certloom.operators import stats
 from certloom.operators.fetch import Fetcher
 from certloom.operators.query import GROUPS, Query, parse_bar
 from certloom.plans import rebuild as rebuilding
 from certloom.plans.ingest import Head
-from certloom.sources import ctlog, schemas
+from certloom.sources import ctlog, footers, schemas
 from certloom.sources.loglist import LogRegistry, find_log, read_log_list
-from certloom.streaming.follow import audit
+from certloom.streaming.follow import audit, entry_sessions, entry_windows
 
 N, STEP = 30, 20
 ENTRIES = log.raw_entries(N)
@@ -272,6 +274,55 @@ def test_samples_are_stable(spark):
     assert stats.reservoir(df, 10, 3).count() == 10
 
 
+def test_footers_and_canary(engine):
+    m = engine.dataset.manifests()[0]
+    footers.canary(engine.dataset, m, "certs", 1, ("sha256",), engine.dataset.table("certs", engine.snapshot(), [m]).select("cert_id", "sha256").limit(3))
+    folder = engine.dataset.store.path(engine.dataset.folder("names", m, 1))
+    with_bloom = {c["column"] for c in footers.chunks(engine.spark, folder) if c["has_bloom"]}
+    assert with_bloom == {"name", "etld1"} and {c["codec"] for c in footers.chunks(engine.spark, folder)} == {"ZSTD"}
+    assert all("org.apache.spark.version" in kv for kv in footers.key_values(engine.spark, folder).values())
+    with pytest.raises(VerificationError):
+        footers.canary(engine.dataset, m, "certs", 1, ("issuer_cn",))
+
+
+def test_event_time_windows(engine):
+    entries = engine.dataset.table("entries", engine.snapshot()).where("log = 'a'")
+    assert sum(r["entries"] for r in entry_windows(entries, "10 seconds").collect()) == 60
+    assert [r["entries"] for r in entry_sessions(entries, "5 seconds").collect()] == [60]
+
+
+def test_wrong_heads_stop_the_stream(engine, spark, tmp_path):
+    spark.createDataFrame(ENTRIES[:4], log.RAW).coalesce(1).write.parquet(str(tmp_path / "raw"))
+    stream = spark.readStream.schema(log.RAW).parquet(str(tmp_path / "raw"))
+    q = engine.start_stream(stream, "c", str(tmp_path / "cp"), head=lambda size: (Head(size, b"x" * 32), None))
+    with pytest.raises(Exception, match="signed tree"):
+        q.awaitTermination(120)
+    assert "c" not in engine.snapshot().tips() and engine.dataset.store.names("incidents")
+
+
+def test_command_line(engine, spark, tmp_path):
+    def call(*args):
+        out = io.BytesIO()
+        command.run(spark, command.parser().parse_args([engine.dataset.root, *args]), out)
+        return out.getvalue().decode()
+
+    table = call("search", "exact:host1.example.test", "--fields", "name,certs").splitlines()
+    assert table == ["NAME                CERTS", "host1.example.test  2"]
+    assert json.loads(call("search", "example.test", "--format", "csv", "--export", str(tmp_path / "x.csv")))["row_count"] == 60
+    assert call("fetch", "2").startswith("-----BEGIN") and "FAIL" not in call("verify")
+    assert "ext_duplicate (certificate)" in call("explain-error", "ext_duplicate")
+    assert json.loads(call("stats"))["logs"]["a"]["committed_entries"] == 60
+    with pytest.raises(UsageError):
+        call("search", "nope:1")
+
+
+def test_room():
+    stats.require_room(100, 50, 30)
+    for args in ((100, 50, 36), (0, 0, 0), (100, 0, 1, 0.99)):
+        with pytest.raises(CapError):
+            stats.require_room(*args)
+
+
 def test_versions(engine, monkeypatch):
     monkeypatch.setitem(schemas.DERIVED, ("cert_aia", 2), schemas.DERIVED["cert_aia", 1])
     with pytest.raises(DatasetError):
