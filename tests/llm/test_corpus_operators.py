@@ -267,3 +267,25 @@ def test_pipeline_stages(spark, tables):
     assert not {300, 301, 302, 303, 204, 201, 202} & set(out) and {200, 304, 305, 400, 501} <= set(out)
     assert all(len(r["ids"]) == r["n_tokens"] and re.fullmatch("[0-9a-f]{64}", r["ids_sha256"]) for r in out.values())
     assert out[304]["decoded_sha256"] == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_pipeline_equals_brute_force(spark, tables):
+    import public_tokenizers
+    import tiktoken
+    from test_text_operators import base64, expected_lines
+
+    import corpus_pipeline
+
+    items = [tuple(r) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    rows = [tuple(r) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+    rows = [(i, t) for i, t in rows if any(map(str.isalpha, t or ""))]
+    rows = [(i, t) for i, t, _, _ in expected_lines(rows)]
+    classes = expected_classes(rows)
+    rows = [v for v in rows if v not in classes or classes[v][0] == v[0]]
+    rows = [(i, t) for i, t in rows if not expected_hits(t, items)[1]]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: (reference.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    got = {r["doc_id"]: (list(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, tables).collect()}
+    assert got == want
