@@ -18,8 +18,10 @@ NUMBER = "__nr"
 class Results:
     """Rows of a query in memory and on the executors' disks, with numbers from 1."""
 
-    def __init__(self, rows: DataFrame, query: Query, as_of: int, source: DataFrame | None = None):
-        self.query, self.as_of, self._source = query, as_of, source if source is not None else rows
+    def __init__(self, rows: DataFrame, query: Query, as_of: int, users: list[int] | None = None):
+        self.query, self.as_of, self._source = query, as_of, rows
+        self._users = users if users is not None else [0]  # results that share the found rows
+        self._users[0] += 1
         sort, descending = query.order
         key = GROUPS[query.group].key
         kept = rows.where(text_filter(query.columns, query.filter)) if query.filter else rows
@@ -38,7 +40,7 @@ class Results:
         """The same rows in another order or with another text filter, without searching again."""
         q = Query(**self.query.__dict__)
         q.sort, q.filter = sort if sort is not None else q.sort, filter if filter is not None else q.filter
-        return Results(self._source, q.checked(), self.as_of, self._source)
+        return Results(self._source, q.checked(), self.as_of, self._users)
 
     def rows(self, keys: list | None = None) -> DataFrame:
         """All rows in order, or those with the given keys."""
@@ -46,7 +48,11 @@ class Results:
         return out.orderBy(NUMBER).select(*self.query.columns)
 
     def close(self) -> None:
+        """Frees the rows; those found by the search go with the last result that shares them."""
         self._rows.unpersist()
+        self._users[0] -= 1
+        if not self._users[0]:
+            self._source.unpersist()
 
 
 def hold(dataset: Dataset, snap: Snapshot, q: Query) -> Results:

@@ -17,6 +17,8 @@ from certloom.operators.numbering import durable, numbered
 from certloom.sources.dataset import Dataset, Snapshot
 from certloom.sources.schemas import TABLES
 
+#: Earlier batches in which a final certificate's delta base is looked for; a base further back is not recorded.
+DELTA_BATCHES = 64
 #: Columns whose Parquet files get bloom filters, by table.
 BLOOM = {"certs": ("sha256",), "names": ("name", "etld1")}
 
@@ -139,7 +141,7 @@ def ingest_batch(
 
     # a final certificate's delta base: the earliest precertificate with its issuance key logged before it
     precerts = (
-        dataset.table("entries", snap).select("entry_type", "issuance_key", "cert_id", F.lit(-1).cast("long").alias("idx"))
+        dataset.table("entries", snap, snap.batches[-DELTA_BATCHES:]).select("entry_type", "issuance_key", "cert_id", F.lit(-1).cast("long").alias("idx"))
         .unionByName(entries.select("entry_type", "issuance_key", "cert_id", "idx"))
         .where((F.col("entry_type") == "precert") & F.col("issuance_key").isNotNull() & F.col("cert_id").isNotNull())
         .groupBy("issuance_key").agg(F.min(F.struct("idx", "cert_id")).alias("p"))
