@@ -498,3 +498,10 @@ SELECT user_id, event_id, previous, running FROM (SELECT user_id, event_id, lag(
 def previous_row(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return t.events.select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.max("event_id").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("running"))
+
+
+@query("SELECT cert_id, string_split(name, '.')[-1] AS tld, etld1 FROM names")
+def public_suffixes(t: Tables) -> DataFrame:
+    suffixes = names_.suffixes_udf(t.spark)
+    found = t.names.select("cert_id", names_.normalised(F.col("name")).alias("n")).select("cert_id", suffixes("n.base").alias("s"))
+    return found.select("cert_id", "s.tld", "s.etld1")
