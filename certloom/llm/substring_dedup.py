@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -110,20 +110,36 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(work, "h long, ctx long, doc_id long, th long, at long")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder: far smaller than a checkpoint's files."""
-    durable(df.sparkSession.range(1))
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Scratch:
+    """Intermediate tables in the checkpoint folder, far smaller there than as checkpoints, dropped when done with."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, sc = spark, spark.sparkContext
+        durable(spark.range(1))
+        self.base, self.names = f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}", set()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
+        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        return self.spark.read.parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables, and has Spark's cleaner delete the shuffle files of finished steps."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            self.names.discard(name)
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 _BEFORE, _AFTER = "cast(shiftright(at, 8) & 255 as int)", "cast(at & 255 as int)"
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """key, doc_id, th, at and bytes (the surroundings themselves) of the wanted occurrences."""
-    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "at")).alias("list"))
+    """key, kinds, doc_id, th, at and bytes (the surroundings themselves) of the wanted occurrences."""
+    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "at", "kinds")).alias("list"))
     joined = docs.join(checked_broadcast(by_doc, rows, BROADCAST_ROWS), ["doc_id", "th"]).select("doc_id", "th", "text", "list")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +152,11 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
                 same = pa.array(np.zeros(len(parts), np.int32))
                 doc = batch.slice(row, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [key, doc.column("doc_id").take(same), doc.column("th").take(same), pa.array(at), pa.array(parts, pa.binary())],
-                    names=["key", "doc_id", "th", "at", "bytes"],
+                    [key, listed.field("kinds"), doc.column("doc_id").take(same), doc.column("th").take(same), pa.array(at), pa.array(parts, pa.binary())],
+                    names=["key", "kinds", "doc_id", "th", "at", "bytes"],
                 )
 
-    return joined.mapInArrow(work, "key long, doc_id long, th long, at long, bytes binary").dropDuplicates(["key", "doc_id", "th", "at"])
+    return joined.mapInArrow(work, "key long, kinds long, doc_id long, th long, at long, bytes binary")
 
 
 def shared_spans(parts: list[list[bytes]], before: list[list[int]]) -> list[tuple[int, int, int, int]]:
@@ -201,9 +217,12 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[list[dict]] = []
-        size, key = 0, None
+        size, key, place = 0, None, None
         for batch in batches:
             for r in batch.to_pylist():
+                if (r["key"], r["doc_id"], r["th"], r["at"]) == place:
+                    continue  # of a repeated row
+                place = r["key"], r["doc_id"], r["th"], r["at"]
                 if r["key"] != key:
                     if size > SYMBOLS:
                         yield flush(groups)
@@ -245,44 +264,76 @@ def _halves(rows: DataFrame, low: int, high: int) -> DataFrame:
     return out
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
+def _repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, th, start, end: spans whose every string of LENGTH bytes starts earlier too."""
     keys = _anchor_keys(docs).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h")
-    keys = _written(keys)
-    found = _written(_occurrences(docs).join(checked_broadcast(keys, keys.count(), BROADCAST_ROWS), "h", "left_semi"))
+    keys = scratch.keep(keys, "keys")
+    found = scratch.keep(_occurrences(docs).join(checked_broadcast(keys, keys.count(), BROADCAST_ROWS), "h", "left_semi"), "found")
+    scratch.drop("keys")
     first = F.min(F.struct("doc_id", "th", "at")).alias("first")
-    kinds = durable(found.groupBy("h", "ctx").agg(first, F.count("*").alias("n")))
+    kinds = scratch.keep(found.groupBy("h", "ctx").agg(first, F.count("*").alias("n")), "kinds")
+    place = F.shiftright("at", 16)
+    ends = (place - F.expr(_BEFORE)).alias("start"), (place + F.expr(_AFTER)).alias("end")
     copies = (
-        found.join(kinds.where(F.col("n") > 1).select("h", "ctx", "first"), ["h", "ctx"])
+        found.where(F.expr(f"{_BEFORE} + {_AFTER} >= {LENGTH}"))
+        .join(kinds.where(F.col("n") > 1).select("h", "ctx", "first"), ["h", "ctx"])
         .where(F.struct("doc_id", "th", "at") != F.col("first"))
-        .where(F.expr(f"{_BEFORE} + {_AFTER} >= {LENGTH}"))
     )
-    place = F.shiftright("at", 16)
-    spans = copies.select("doc_id", "th", (place - F.expr(_BEFORE)).alias("start"), (place + F.expr(_AFTER)).alias("end"))
+    spans = [scratch.keep(copies.select("doc_id", "th", *ends), "spans")]
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    wanted = durable(kinds.join(mixed, "h").select(F.col("h").alias("key"), "first.doc_id", "first.th", "first.at", "kinds"))
-    rows = _surroundings(docs, wanted, wanted.count())
-    rows = durable(rows.join(mixed.withColumnRenamed("h", "key"), "key").select("key", "doc_id", "th", "at", "bytes", "kinds", F.lit(0).alias("low"), F.lit(REACH).alias("high")))
-    small = rows.where(F.col("kinds") <= TOGETHER)
-    spans = spans.unionByName(_sorted_groups(small))
-    large, low_high = rows.where(F.col("kinds") > TOGETHER), [(0, REACH)]
-    while low_high and not large.isEmpty():
-        halves, ranges = None, []
-        for low, high in low_high:
+    wanted = scratch.keep(kinds.join(mixed, "h").select(F.col("h").alias("key"), "first.doc_id", "first.th", "first.at", "kinds"), "wanted")
+    scratch.drop("found", "kinds")
+    step = "rows"
+    rows = scratch.keep(_surroundings(docs, wanted, wanted.count()), step)
+    spans.append(scratch.keep(_sorted_groups(rows.where(F.col("kinds") <= TOGETHER)), "spans-sorted"))
+    scratch.drop("wanted")
+    large = rows.where(F.col("kinds") > TOGETHER).withColumns({"low": F.lit(0), "high": F.lit(REACH)})
+    ranges = [(0, REACH)]
+    while ranges and not large.isEmpty():
+        halves = None
+        for low, high in ranges:
             part = _halves(large.where((F.col("low") == low) & (F.col("high") == high)), low, high)
             halves = part if halves is None else halves.unionByName(part)
-            ranges += [r for r in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)) if r[0] < r[1]]
-        halves = durable(halves)
+        ranges = [r for low, high in ranges for r in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)) if r[0] < r[1]]
+        at = f"{len(spans)}"
+        halves = scratch.keep(halves, f"halves-{at}")
         same = ["key", "bytes", "low", "high"]
         head = F.min(F.struct("doc_id", "th", "at")).alias("head")
-        heads = durable(halves.groupBy(*same).agg(head, F.count("*").alias("n")))
-        repeats = halves.join(heads.where(F.col("n") > 1), same).where(F.struct("doc_id", "th", "at") != F.col("head")).where(F.length("bytes") >= LENGTH)
-        spans = spans.unionByName(repeats.select("doc_id", "th", (place - F.expr(_BEFORE)).alias("start"), (place + F.expr(_AFTER)).alias("end")))
+        heads = scratch.keep(halves.groupBy(*same).agg(head, F.count("*").alias("n")), f"heads-{at}")
+        repeats = halves.where(F.length("bytes") >= LENGTH).join(heads.where(F.col("n") > 1), same).where(F.struct("doc_id", "th", "at") != F.col("head"))
+        spans.append(scratch.keep(repeats.select("doc_id", "th", *ends), f"spans-{at}"))
         counts = heads.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-        rows = durable(heads.join(counts, "key").select("key", "head.doc_id", "head.th", "head.at", "bytes", "kinds", "low", "high"))
-        spans = spans.unionByName(_sorted_groups(rows.where(F.col("kinds") <= TOGETHER)))
-        large, low_high = rows.where(F.col("kinds") > TOGETHER), ranges
-    return spans
+        rows = scratch.keep(heads.join(counts, "key").select("key", "head.doc_id", "head.th", "head.at", "bytes", "kinds", "low", "high"), f"rows-{at}")
+        spans.append(scratch.keep(_sorted_groups(rows.where(F.col("kinds") <= TOGETHER)), f"spans-sorted-{at}"))
+        scratch.drop(step, f"halves-{at}", f"heads-{at}")
+        step = f"rows-{at}"
+        large = rows.where(F.col("kinds") > TOGETHER)
+    out = spans[0]
+    for s in spans[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """s_id, s_th, runs: a document's spans as maximal runs, in order."""
+    by_doc = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(len(batch)):
+                found = batch.column("found")[row].values
+                first, last = np.asarray(found.field("start")), np.asarray(found.field("end"))
+                reach = np.maximum.accumulate(last)
+                head = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+                tail = np.append(head[1:], len(first)) - 1
+                out.append([{"start": int(first[i]), "end": int(reach[j])} for i, j in zip(head, tail, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, _RUNS)], names=["s_id", "s_th", "runs"])
+
+    return by_doc.mapInArrow(work, "s_id long, s_th long, runs array<struct<start:long,end:long>>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -299,12 +350,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchor with equal surroundings need no sorting: all but the first repeat. Where surroundings
     differ, one row of each kind goes on to a suffix array, in groups of bounded size: larger ones
     are split by longer anchors. Joins on an anchor's hash may be hot and are left to AQE's splitting.
+    Anchors that recur, and the runs to remove, are broadcast up to BROADCAST_ROWS and shuffled
+    beyond; then the texts are shuffled too.
     """
     names = ("n_bytes", "spans", "kept")
     base = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     usable = base.select("doc_id", "th", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    spans = _repeated(usable).groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    joined = base.join(spans, (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("row", "text", "found")
+    scratch = Scratch(docs.sparkSession)
+    runs = scratch.keep(_merged(_repeated(usable, scratch)), "runs")
+    scratch.drop(*scratch.names - {"runs"})
+    size = runs.agg(F.coalesce(F.sum(F.size("runs") + 4), F.lit(0))).first()[0]
+    runs = checked_broadcast(runs, size, BROADCAST_ROWS)
+    joined = base.join(runs, (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("row", "text", "runs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,21 +370,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 sizes, runs, kept, held, high = [], [], [], 0, low
                 while high < len(batch) and held < 4 * PIECE:
                     raw = (batch.column("text")[high].as_py() or "").encode()
-                    listed = batch.column("found")[high].values
-                    merged: list[list[int]] = []
-                    for a, b in sorted(zip(*(listed.field(c).to_pylist() for c in ("start", "end")), strict=True)) if listed is not None else ():
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    ends = [0, *(b for _, b in merged)]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in merged), len(raw)], strict=True)))
+                    runs.append(batch.column("runs")[high].as_py() or [])
+                    ends = [0, *(r["end"] for r in runs[-1])]
+                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(r["start"] for r in runs[-1]), len(raw)], strict=True)))
                     sizes.append(len(raw))
-                    runs.append([{"start": a, "end": b} for a, b in merged])
                     held += len(raw)
                     high += 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                    [batch.column("row").slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(runs, _RUNS), pa.array(kept, pa.binary())],
                     names=["row", *names],
                 )
                 low = high
