@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,38 @@ PATTERNS = {
     "date": r"(?<![0-9/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/\-.][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}|[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4})(?![0-9])",
     "card": r"(?<![A-Za-z0-9.,\-])[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9]|-[0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+_DOMESTIC = r"\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}|[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}"
+#: What ends a candidate before it: the other values that begin with a digit.
+_OTHER = "|".join([*(PATTERNS[k] for k in ("email", "date", "ssn", "ip")), rf"(?<![A-Za-z0-9])(?:{_DOMESTIC})(?![0-9])"])
+_PLUS = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})"
+#: 7 to 15 digits since the plus; looked at from the end, so that a longer reading gives way to a shorter one.
+_ONE = r"[ .\-()]?[ .\-()]?[0-9]"
+_PHONE_DIGITS = rf"(?<=\+{_ONE * 7}{f'(?:{_ONE}' * 8}{')?' * 8})"
+#: The usual groupings of cards. Several in a row, with no further group of four, mark a border most surely.
+_CARD = r"(?:[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}|[0-9]{4}[ \-]?[0-9]{6}[ \-]?[0-9]{4,5}|[0-9]{13,19})"
+_CARDS = rf"{_CARD}(?: {_CARD})*+(?![A-Za-z0-9]|-[0-9]| [0-9]{{4}}(?![0-9./\-]))"
+#: Up to cards, else up to any value that leaves a number, else the whole.
+_INTERNATIONAL = "|".join(
+    rf"{_PLUS}(?:[ .\-]?{stop}[0-9]{{2,4}}){{2,4}}(?![0-9]){end}{_PHONE_DIGITS}"
+    for stop, end in ((rf"(?!{_OTHER})", rf"(?= {_CARDS})"), (rf"(?!{_OTHER}|{_CARD}(?![A-Za-z0-9]|-[0-9]))", ""), ("", ""))
+)
+PATTERNS = {**{k: v for k, v in PATTERNS.items() if k != "card"}, "phone": rf"(?<![A-Za-z0-9])(?:{_INTERNATIONAL}|{_DOMESTIC})(?![0-9])", "card": PATTERNS["card"]}
+#: IBANs and cards are found as runs of groups parted by single blanks, which _readings() cuts by
+#: their check digits. Possessive, so that long runs need no stack.
+_GROUP = r"[A-Z0-9]++(?![A-Za-z0-9])"
+_DIGIT_GROUP = r"[0-9]++(?:-[0-9]++)*+(?![A-Za-z0-9])"
+RUNS = {
+    "iban": rf"(?={PATTERNS['iban']}){_GROUP}(?: (?!{_OTHER}|[0-9]++-[0-9]++-[0-9]){_GROUP})*+",
+    "card": rf"(?<![A-Za-z0-9.,\-])(?=[0-9](?:(?: (?!{_OTHER})|-)?[0-9]){{12}}){_DIGIT_GROUP}(?: (?!{_OTHER}){_DIGIT_GROUP})*+",
+}
+_IS_RUN = r"^(?:[A-Z]{2}[0-9]{2}[A-Z0-9 ]*|(?=[0-9](?:[ \-]?[0-9]){12})[0-9 \-]*)$"
+#: Groups of one reading at most, and a letter for each number of groups; x is a group outside of all readings.
+MOST_GROUPS = 19
+_LETTERS = "abcdefghijklmnopqrs"
+_PIECES = "|".join(["x[A-Z0-9-]+", *(rf"{c}[A-Z0-9-]+(?: [a-z][A-Z0-9-]+){{{n}}}" for n, c in enumerate(_LETTERS))])
+ANY = "|".join((PATTERNS | RUNS).values())
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Days of the 400-year Gregorian cycle from 1800-01-01, as an exact product of two radices.
 CYCLE_START, CYCLE_RADICES = "1800-01-01", (189, 773)
@@ -138,11 +168,15 @@ def _luhn_sum(digits: Column, doubled_from_right: int) -> Column:
     )
 
 
+def _card_good(value: Column) -> Column:
+    return F.pmod(_luhn_sum(_only(value, "0-9"), 1), F.lit(10)) == 0
+
+
 def _card(value: Column, key: Column, back: bool) -> Column:
     digits = _only(value, "0-9")
     body = permute_chars(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, F.lit("card"), back)
     check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(body, 0), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(F.pmod(_luhn_sum(digits, 1), F.lit(10)) == 0, _refill(value, "0-9", F.concat(body, check))).otherwise(value)
+    return F.when(_card_good(value), _refill(value, "0-9", F.concat(body, check))).otherwise(value)
 
 
 def _mod97(value: Column) -> Column:
@@ -156,14 +190,19 @@ def _mod97(value: Column) -> Column:
     )
 
 
+def _iban_good(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+    return (_mod97(turned) == 1) & F.length(plain).between(15, 34)
+
+
 def _iban(value: Column, key: Column, back: bool) -> Column:
     plain = F.replace(value, F.lit(" "), F.lit(""))
     country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     new = _refill(account, "0-9", permute_chars(_only(account, "0-9"), DIGITS, key, F.concat(F.lit("iban"), country), back))
     check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
     full = F.concat(country, check, new)
-    good = (_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
-    return F.when(good, _refill(value, "A-Z0-9", full)).otherwise(value)
+    return F.when(_iban_good(value), _refill(value, "A-Z0-9", full)).otherwise(value)
 
 
 def _date(value: Column, key: Column, back: bool) -> Column:
@@ -244,6 +283,57 @@ def pseudonym(value: Column, key: Column, back: bool = False) -> Column:
     return F.coalesce(out, value)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _readings(run: Column) -> Column:
+    """A run of groups as pieces in order: 'x' and a group, or a letter and the groups of one IBAN or card.
+
+    From the left, each group that can start a valid reading takes the longest one that ends at a
+    border of groups; the next piece begins behind it. Letters before the later groups of a piece
+    have no meaning.
+    """
+
+    def valid(value: Column) -> Column:
+        card = value.rlike(f"^(?:{PATTERNS['card']})$")
+        return F.when(value.rlike(f"^(?:{PATTERNS['iban']})$"), _iban_good(value)).when(card, _card_good(value)).otherwise(F.lit(False))
+
+    def longest(ahead: Column) -> Column:
+        ends = F.sequence(F.lit(1), F.size(ahead))
+        return F.array_max(F.filter(ends, lambda n: _let(F.array_join(F.slice(ahead, F.lit(1), n), " "), valid)))
+
+    def letter(groups: Column, group: Column, i: Column) -> Column:
+        n = F.when(group.rlike("^(?:[0-9]|[A-Z]{2}[0-9]{2})"), _let(F.slice(groups, i + 1, F.lit(MOST_GROUPS)), longest))
+        return _let(n, lambda n: F.when(n.isNull(), F.lit("x")).otherwise(F.substring(F.lit(_LETTERS), n, F.lit(1))))
+
+    marked = _let(F.split(run, " "), lambda groups: F.array_join(F.transform(groups, lambda g, i: F.concat(letter(groups, g, i), g)), " "))
+    return F.regexp_extract_all(marked, F.lit(_PIECES), F.lit(0))
+
+
+def _replaced(match: Column, key: Column, back: bool) -> Column:
+    """What a match becomes: its new text, the values found in it and those replaced."""
+
+    def of_piece(piece: Column) -> Column:
+        old = F.regexp_replace(piece, "[a-z]", "")
+        new = F.when(piece.startswith("x"), old).when(old.rlike("^[A-Z]"), _iban(old, key, back)).otherwise(_card(old, key, back))
+        return F.struct(new.alias("text"), (~piece.startswith("x")).cast("int").alias("found"), (new != old).cast("int").alias("moved"))
+
+    def total(pieces: Column, name: str) -> Column:
+        return F.aggregate(pieces, F.lit(0), lambda n, p: n + p[name])
+
+    def of_run(pieces: Column) -> Column:
+        text = F.array_join(F.transform(pieces, lambda p: p["text"]), " ")
+        return F.struct(text.alias("text"), F.greatest(F.lit(1), total(pieces, "found")).alias("found"), total(pieces, "moved").alias("moved"))
+
+    def of_value(new: Column) -> Column:
+        return F.struct(new.alias("text"), F.lit(1).alias("found"), (new != match).cast("int").alias("moved"))
+
+    run = _let(F.transform(_readings(match), of_piece), of_run)
+    return F.when(match.rlike(_IS_RUN), run).otherwise(_let(pseudonym(match, key, back), of_value))
+
+
 def pseudonymise(docs: DataFrame, key: str | Column, back: bool = False) -> DataFrame:
     """docs with its text's personal values replaced, plus n_found (matches) and n_replaced.
 
@@ -251,6 +341,10 @@ def pseudonymise(docs: DataFrame, key: str | Column, back: bool = False) -> Data
     addresses, phone numbers and the local parts of e-mail addresses are permuted under the key
     inside their format: length, separators, country and check digits stay valid, so equal values
     stay equal in every document and different ones different. Values that fail validation stay.
+    Values may stand side by side: a phone number ends where another value starts, and runs of
+    groups are cut into the IBANs and cards whose check digits hold, longest first from the left;
+    a run without any counts as one match. back can cut a run elsewhere, if a pseudonym's digits
+    happen to complete a longer valid reading with the groups beside it.
     Dates dd/MM/yyyy that cannot be MM/dd/yyyy are permuted among the dd/MM/yyyy ones.
 
     Null text stays null with counts 0, empty text stays empty; whole texts are scanned. Repeated
@@ -265,15 +359,18 @@ def pseudonymise(docs: DataFrame, key: str | Column, back: bool = False) -> Data
     taken = "_found_values" if "_found_values" not in docs.columns else "_found_values_1"
     new = taken + "_new"
     found = docs.withColumn(taken, F.when(likely, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    found = found.withColumn(new, F.transform(taken, lambda m: pseudonym(m, key, back)))
+    found = found.withColumn(new, F.transform(taken, lambda m: _replaced(m, key, back)))
     gaps = F.split("text", ANY, -1)
-    filled = F.array_join(F.zip_with(gaps, new, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))), "")
-    moved = F.size(F.filter(F.zip_with(taken, new, lambda a, b: a != b), lambda x: x))
+    filled = F.array_join(F.zip_with(gaps, new, lambda gap, value: F.concat(gap, F.coalesce(value["text"], F.lit("")))), "")
+
+    def total(name: str) -> Column:
+        return F.aggregate(new, F.lit(0).cast("long"), lambda n, m: n + m[name])
+
     return found.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("text", *names)],
         F.when(F.size(taken) > 0, filled).otherwise(F.col("text")).alias("text"),
-        F.when(F.col(taken).isNull(), 0).otherwise(F.size(taken)).cast("long").alias("n_found"),
-        F.when(F.col(taken).isNull(), 0).otherwise(moved).cast("long").alias("n_replaced"),
+        F.coalesce(total("found"), F.lit(0)).cast("long").alias("n_found"),
+        F.coalesce(total("moved"), F.lit(0)).cast("long").alias("n_replaced"),
     )
 
 

@@ -48,6 +48,44 @@ def test_pseudonym_keeps_format_and_inverts(pseudonyms, at):
         assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
 
 
+#: Texts with values side by side, and the values in them that must go.
+BESIDE = {
+    "+1 (826) 555-4081 190.137.223.204": ["+1 (826) 555-4081", "190.137.223.204"],
+    "+1 (843) 555-7672 170.106.47.218": ["+1 (843) 555-7672", "170.106.47.218"],
+    "+1 826-555-4081 826-555-4082": ["+1 826-555-4081", "826-555-4082"],
+    "+1 826 555-4081 99.john@example.com": ["+1 826 555-4081", "99.john"],
+    "+1 826 5554081 4111 1111 1111 1111": ["+1 826 5554081", "4111 1111 1111 1111"],
+    "+1 826 555 4081 4111 1111 1111 1111": ["+1 826 555 4081", "4111 1111 1111 1111"],
+    "+1 (826) 555-4081 4111 1111 1111 1111 190.137.223.204": ["+1 (826) 555-4081", "4111 1111 1111 1111", "190.137.223.204"],
+    "+49 30 123-45-6789": ["+49 30 123-45-6789"],
+    "4111 1111 1111 1111 123": ["4111 1111 1111 1111"],
+    "12 4111 1111 1111 1111": ["4111 1111 1111 1111"],
+    "4111 1111 1111 1111 190.137.223.204": ["4111 1111 1111 1111", "190.137.223.204"],
+    "4111-1111-1111-1111 123-45-6789": ["4111-1111-1111-1111", "123-45-6789"],
+    "3782 822463 10005 3714 496353 98431": ["3782 822463 10005", "3714 496353 98431"],
+    "BE68 5390 0754 7034 USD 100": ["BE68 5390 0754 7034"],
+    "BE68 5390 0754 7034 4111 1111 1111 1111": ["BE68 5390 0754 7034", "4111 1111 1111 1111"],
+    "BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00": ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"],
+    "1234 5678 9012 3456": [],
+    "7 " * 3000 + "\n4111 1111 1111 1111": ["4111 1111 1111 1111"],
+}
+
+
+def test_values_side_by_side(spark):
+    df = spark.createDataFrame(list(enumerate(BESIDE)), "doc_id long, text string")
+    alone = sorted({v for values in BESIDE.values() for v in values} - {"99.john"})
+    one = {r["value"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame([(v, v) for v in alone], "value string, text string"), "key").collect()}
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(df, "key").collect()}
+    for at, (text, values) in enumerate(BESIDE.items()):
+        assert rows[at]["n_replaced"] == len(values), text[-60:]
+        for v in values:
+            text = text.replace(v, one.get(v, v))
+        if "99.john" not in values:
+            assert rows[at]["text"] == text and not any(v in text for v in values)
+        else:
+            assert "99.john" not in rows[at]["text"]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
