@@ -6,18 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certloom.llm.common import table
+from certloom.llm.common import durable, table
 
 #: Longest context in bytes; contexts of two or more bytes seen fewer times are left out of the tree.
 ORDER, LEAST_SEEN = 3, 2
 #: Bounds of the training sample of one language: documents, and bytes of their whole texts.
 SAMPLE_DOCS, SAMPLE_BYTES = 240, 2_000_000
-#: Languages learned at most, the most frequent first. It bounds the model.
-MOST_LANGS = 64
+#: Languages in memory at once; more are learned and scored block by block.
+BLOCK_LANGS = 16
+#: Bytes of the tables from codes to states that a model may keep.
+STATES_BYTES = 256_000_000
 #: Bytes scored at once.
 PIECE = 2_000_000
 
@@ -75,12 +78,26 @@ class PPM:
             first += len(contexts)
         return out
 
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The states for some codes of ORDER symbols, without a table of all codes."""
+        out, first = np.zeros(len(codes), np.int32), 0
+        for order, contexts in enumerate(self.contexts):
+            if len(contexts):
+                key = codes % self.size**order
+                at = np.minimum(np.searchsorted(contexts, key), len(contexts) - 1)
+                out = np.where(contexts[at] == key, first + at, out).astype(np.int32)
+            first += len(contexts)
+        return out
+
 
 class Model:
-    """The languages' trees over one alphabet: the bytes seen in training, and one symbol for the rest."""
+    """The languages' trees over one alphabet: the bytes seen in training, and one symbol for the rest.
+
+    seen: the alphabet, if it is more than that of the samples.
+    """
 
-    def __init__(self, samples: dict[str, list[bytes]]):
-        seen = np.zeros(256, bool)
+    def __init__(self, samples: dict[str, list[bytes]], seen: np.ndarray | None = None):
+        seen = np.zeros(256, bool) if seen is None else seen.copy()
         seen[10] = True
         for texts in samples.values():
             for t in texts:
@@ -100,7 +117,8 @@ class Model:
         data: the texts' bytes one after another; ends: their ends. Works in pieces of a fixed
         length, so that memory does not grow with a text's length.
         """
-        if self._states is None:
+        n_codes = self.size**ORDER
+        if self._states is None and 4 * n_codes * len(self.trees) <= STATES_BYTES:
             self._states = [t.states() for t in self.trees]
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         out = np.zeros((len(ends), len(self.langs)))
@@ -121,42 +139,78 @@ class Model:
                 context = symbols[ORDER - back : ORDER - back + high - low]
                 state = state * self.size + np.where(near >= back, context, self.classes[10])
             now = symbols[ORDER:]
-            for x, (tree, states) in enumerate(zip(self.trees, self._states, strict=True)):
+            if self._states is None:  # each code that occurs is looked up once a tree
+                present = np.zeros(n_codes, bool)
+                present[state] = True
+                codes, place = np.flatnonzero(present), np.zeros(n_codes, np.int32)
+                place[codes] = np.arange(len(codes), dtype=np.int32)
+                state = place[state]
+            for x, tree in enumerate(self.trees):
+                states = tree.find(codes) if self._states is None else self._states[x]
                 bits = tree.bits.reshape(-1)[states[state] * self.size + now]
                 sums = np.add.reduceat(bits, cuts[solid], dtype=np.float64) if solid.any() else np.zeros(0)
                 out[np.arange(first, last)[solid], x] += sums
         return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+class Blocks:
+    """Models of some languages each over one alphabet, in order of the names, as broadcasts."""
+
+    def __init__(self, langs: list[str], parts: list[Broadcast]):
+        self.langs, self.parts = langs, parts
+
+
+def _bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(256, bool)
+    for batch in batches:
+        for text in batch.column(0):
+            seen[np.frombuffer(text.as_py(), np.uint8)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, block_langs: int = BLOCK_LANGS) -> Model | Blocks:
     """A model from a bounded sample of labelled documents (doc_id, text, lang).
 
-    For each of the MOST_LANGS most frequent languages: whole texts in the order of a hash of
-    doc_id, up to sample_docs documents and sample_bytes bytes. Rows with null text or lang do
-    not count. Ties in the hash fall to the smaller text hash.
+    For every language: whole texts in the order of a hash of doc_id, up to sample_docs documents
+    and sample_bytes bytes; if all its texts are longer than that, the first one's first
+    sample_bytes bytes. Rows with null text or lang do not count. Ties in the hash fall to the
+    smaller text hash.
+
+    The driver holds the keys of all samples, and the texts and trees of block_langs languages.
     """
     size = F.octet_length("text").cast("long")
     good = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0))
-    langs = [r["lang"] for r in good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    order = Window.partitionBy("lang").orderBy("draw", "th")
+    order = Window.partitionBy("lang").orderBy("long", "draw", "th")
     drawn = (
-        good.where(F.col("lang").isin(langs) & (size <= sample_bytes))
-        .select("lang", size.alias("size"), F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("th"))
+        good.select("lang", size.alias("size"), (size > sample_bytes).alias("long"), F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("th"))
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= sample_docs)
         .collect()
     )
-    room, chosen = dict.fromkeys(langs, sample_bytes), set()
+    room, chosen = dict.fromkeys((r["lang"] for r in drawn), sample_bytes), set()
     for r in sorted(drawn, key=lambda r: (r["lang"], r["nth"])):
-        room[r["lang"]] -= r["size"]
+        room[r["lang"]] -= min(r["size"], sample_bytes) if r["nth"] == 1 else r["size"]
         if room[r["lang"]] >= 0:
             chosen.add((r["lang"], r["draw"], r["th"]))
-    samples: dict[str, list[bytes]] = {}
-    keys = docs.sparkSession.createDataFrame(list(chosen) or [("", 0, 0)], "lang string, draw bigint, th bigint")
-    found = good.select("lang", F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("th"), "text")
-    for r in found.join(F.broadcast(keys), ["lang", "draw", "th"]).dropDuplicates(["lang", "draw", "th"]).collect():
-        samples.setdefault(r["lang"], []).append(r["text"].encode())
-    return Model({k: sorted(v) for k, v in samples.items()})
+    spark = docs.sparkSession
+    langs = sorted({lang for lang, *_ in chosen})
+    keys = spark.createDataFrame(list(chosen) or [("", 0, 0)], "lang string, draw bigint, th bigint")
+    found = good.select("lang", F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("th"), F.substring(F.encode("text", "UTF-8"), 1, sample_bytes).alias("text"))
+
+    def texts(sample: DataFrame) -> dict[str, list[bytes]]:
+        samples: dict[str, list[bytes]] = {}
+        for r in sample.collect():
+            samples.setdefault(r["lang"], []).append(bytes(r["text"]))
+        return {k: sorted(v) for k, v in samples.items()}
+
+    if len(langs) <= block_langs:
+        return Model(texts(found.join(F.broadcast(keys), ["lang", "draw", "th"]).dropDuplicates(["lang", "draw", "th"])))
+    sample = durable(found.join(keys, ["lang", "draw", "th"]).dropDuplicates(["lang", "draw", "th"]).select("lang", "text"))
+    seen = np.zeros(256, bool)
+    for r in sample.select("text").mapInArrow(_bytes_seen, "seen binary").collect():
+        seen |= np.frombuffer(bytes(r["seen"]), bool)
+    blocks = [langs[i : i + block_langs] for i in range(0, len(langs), block_langs)]
+    return Blocks(langs, [spark.sparkContext.broadcast(Model(texts(sample.where(F.col("lang").isin(b))), seen)) for b in blocks])
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -169,7 +223,7 @@ def _has_letter(raw: np.ndarray) -> bool:
     return bool((raw >= 128).any()) and any(map(str.isalpha, raw.tobytes().decode("utf-8", "replace")))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model | Blocks) -> DataFrame:
     """docs plus lang_pred, score and bits (a byte, under the predicted language).
 
     lang_pred is the language whose tree gives the whole text the shortest code, the first by
@@ -177,16 +231,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     texts without a letter get 'und', score 0 and null bits, as do all texts if nothing was
     learned. Repeated rows keep their rows. Columns of docs with the results' names are replaced.
 
-    Batches of rows are scored byte-parallel, in pieces of a fixed size; there is no shuffle.
+    Batches of rows are scored byte-parallel, in pieces of a fixed size; there is no shuffle. Of
+    Blocks one is in memory at a time, and each batch of rows meets all of them.
     """
     names = ("lang_pred", "score", "bits")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = model.parts if isinstance(model, Blocks) else [docs.sparkSession.sparkContext.broadcast(model)]
+    learned = bool(model.langs)
     column = kept.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             raw = batch.column(column).cast(pa.large_binary()).fill_null(b"")
             if not len(raw):
@@ -194,15 +249,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
             data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
             bounds = bounds - bounds[0]
-            usable = np.array([_has_letter(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) & bool(m.langs)
-            if m.langs:
+            usable = np.array([_has_letter(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) & learned
+            names_, least, share = np.full(len(raw), "und", object), np.zeros(len(raw)), np.zeros(len(raw))
+            for k, part in enumerate(parts if learned else []):
+                m = part.value
+                if len(parts) > 1:
+                    part.__dict__.pop("_value", None)  # else the worker keeps every block
                 lengths = m.code_lengths(data, bounds[1:])
                 best = lengths.argmin(1)
-                least = lengths[np.arange(len(best)), best]
-                share = 1 / np.exp2(-np.minimum(lengths - least[:, None], 1000)).sum(1)
-                names_ = [m.langs[i] for i in best]
-            else:
-                names_, least, share = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw))
+                low = lengths[np.arange(len(best)), best]
+                mass = np.exp2(-np.minimum(lengths - low[:, None], 1000)).sum(1)
+                if k:  # probabilities are sums over the blocks so far, relative to the best of them
+                    under = np.minimum(least, low)
+                    mass = mass * np.exp2(-np.minimum(low - under, 1000)) + np.exp2(-np.minimum(least - under, 1000)) / share
+                better = (low < least) | (k == 0)
+                names_ = np.where(better, np.array(m.langs, object)[best], names_)
+                least, share = np.where(better, low, least), 1 / mass
             rate = least / np.maximum(np.diff(bounds), 1)
             yield pa.RecordBatch.from_arrays(
                 [

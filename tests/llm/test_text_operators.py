@@ -289,3 +289,39 @@ def test_language_of_documents(spark, docs, no_docs):
     assert all(0 <= r["score"] <= 1 for r in out.select("score").collect())
     empty = language_id.train(no_docs)
     assert {r["lang_pred"] for r in language_id.identify(df, empty).collect()} == {"und"} and language_id.identify(no_docs, model).count() == 0
+
+
+def test_every_label_is_learned(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(k, lang) for k, lang in enumerate(words) for _ in range(5 if k < 64 else 3)]
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for i, (_, lang) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    blocks, whole = language_id.train(df, block_langs=16), language_id.train(df, block_langs=100)
+    assert len(blocks.parts) == 5 and blocks.langs == whole.langs == sorted(words)
+    found = {r["doc_id"]: r for r in language_id.identify(df, blocks).collect()}
+    assert all(found[i]["lang_pred"] == lang for i, _, lang in rows)
+    for r in language_id.identify(df, whole).collect():
+        got = found[r["doc_id"]]
+        assert got["lang_pred"] == r["lang_pred"] and got["score"] == pytest.approx(r["score"]) and got["bits"] == pytest.approx(r["bits"])
+    for tree in whole.trees[:3]:
+        assert (tree.find(np.arange(tree.size**3)) == tree.states()).all()
+
+
+def test_codes_are_the_same_without_tables(monkeypatch):
+    import numpy as np
+
+    model = language_id.Model({"a": [b"abracadabra abracadabra"], "b": [b"zyx zyxw zyx"]})
+    data, ends = np.frombuffer(b"banana abrazyx", np.uint8), np.array([6, 6, 14])
+    with_tables = model.code_lengths(data, ends, 5)
+    model._states = None
+    monkeypatch.setattr(language_id, "STATES_BYTES", 0)
+    assert np.array_equal(model.code_lengths(data, ends, 5), with_tables)
+
+
+def test_language_of_long_texts_only(spark):
+    rows = [(1, "the cat sat on the mat " * 50, "en"), (2, "der hund und die katze", "de")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=200)
+    assert model.langs == ["de", "en"]
