@@ -172,7 +172,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     """A model from a bounded sample of labelled documents (doc_id, text, lang).
 
     For every language: whole texts in the order of a hash of doc_id, up to sample_docs documents
-    and sample_bytes bytes; if all its texts are longer than that, the first one's first
+    and sample_bytes bytes, without those that no longer fit; if all its texts are longer than that, the first one's first
     sample_bytes bytes. Rows with null text or lang do not count. Ties in the hash fall to the
     smaller text hash.
 
@@ -189,8 +189,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     )
     room, chosen = dict.fromkeys((r["lang"] for r in drawn), sample_bytes), set()
     for r in sorted(drawn, key=lambda r: (r["lang"], r["nth"])):
-        room[r["lang"]] -= min(r["size"], sample_bytes) if r["nth"] == 1 else r["size"]
-        if room[r["lang"]] >= 0:
+        size = min(r["size"], sample_bytes) if r["nth"] == 1 else r["size"]
+        if size <= room[r["lang"]]:
+            room[r["lang"]] -= size
             chosen.add((r["lang"], r["draw"], r["th"]))
     spark = docs.sparkSession
     langs = sorted({lang for lang, *_ in chosen})

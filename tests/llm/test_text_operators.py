@@ -325,3 +325,13 @@ def test_language_of_long_texts_only(spark):
     rows = [(1, "the cat sat on the mat " * 50, "en"), (2, "der hund und die katze", "de")]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=200)
     assert model.langs == ["de", "en"]
+
+
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    from pyspark.sql import functions as F
+
+    ids = [r["id"] for r in spark.range(20).orderBy(F.xxhash64("id")).collect()]
+    texts = ["a" * 150, "b" * 60, *["c" * 10] * 5]  # in the order of the draw
+    rows = [(i, f"{t}{k}", "en") for k, (i, t) in enumerate(zip(ids, texts, strict=False))]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=200)
+    assert all(model.classes[ord(c)] < model.size - 1 for c in "ac") and model.classes[ord("b")] == model.size - 1
