@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,27 @@ def checked_broadcast(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def skew_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int, most_hot: int = 2000) -> DataFrame:
+    """rows joined with keyed (one row for each value of on), however many rows share a value.
+
+    weight: keyed's column with a value's number of rows; total: that of all rows. Values with more
+    than a share of 1 / most_hot are most_hot at most, so they are broadcast; the others are shuffled.
+    """
+    bound = max(1, total // most_hot)
+    hot, rest = keyed.where(F.col(weight) > bound), keyed.where(F.col(weight) <= bound)
+    common = rows.join(F.broadcast(hot), on)
+    return common.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds): the UTF-8 bytes of a column of texts or binaries end to end, nulls as empty."""
+    raw = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(raw):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def byte_chars(text: Column) -> Column:
     """The UTF-8 bytes of text, one Latin-1 character a byte."""
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")

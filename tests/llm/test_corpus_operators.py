@@ -70,9 +70,10 @@ def expected_removals(corpus, n=100):
     return out
 
 
-@pytest.mark.parametrize("together", [64, 2])
-def test_substrings_equal_brute_force(docs, no_docs, corpus, monkeypatch, together):
+@pytest.mark.parametrize(("together", "rows"), [(64, 4_000_000), (2, 0)])
+def test_substrings_equal_brute_force(docs, no_docs, corpus, monkeypatch, together, rows):
     monkeypatch.setattr(substring_dedup, "TOGETHER", together)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", rows)
     want = expected_removals(corpus)
     out = substring_dedup.remove_repeats(docs)
     assert out.count() == docs.count()
@@ -100,14 +101,23 @@ def test_grouped_suffix_arrays():
         assert factors[starts[i] : starts[i + 1]].tolist() == [max((common(a, b) for a in range(b)), default=0) for b in range(len(s))]
 
 
-def test_anchors_do_not_depend_on_pieces(monkeypatch):
+def test_every_string_has_one_anchor():
     import numpy as np
 
-    raw = np.frombuffer(random.Random(1).randbytes(3000), np.uint8)
-    whole = substring_dedup.anchors(raw).tolist()
-    monkeypatch.setattr(substring_dedup, "PIECE", 170)
-    assert substring_dedup.anchors(raw).tolist() == whole
-    assert all(any(i <= p <= i + 68 for p in whole) for i in range(2901))
+    rng = random.Random(1)
+    texts = [rng.randbytes(3000), b"", b"ab" * 150, rng.randbytes(99), b"z" * 100, rng.randbytes(100)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    key, context, text, start, left, width = substring_dedup.anchored(data, bounds)
+    starts = sorted((t, i) for t, a, w in zip(text.tolist(), start.tolist(), width.tolist(), strict=True) for i in range(a, a + w + 1))
+    assert starts == [(t, i) for t, x in enumerate(texts) for i in range(len(x) - 99)]
+    alone = substring_dedup.anchored(np.frombuffer(texts[0], np.uint8), np.array([0, 3000]))
+    assert alone[0].tolist() == key[text == 0].tolist() and alone[1].tolist() == context[text == 0].tolist()
+    cores = defaultdict(set)
+    for k, t, a, l in zip(key.tolist(), text.tolist(), start.tolist(), left.tolist(), strict=True):  # noqa: E741
+        low, high = next(p for p in substring_dedup.PARTS if l <= p[1])
+        cores[k].add((low, texts[t][a + l - low : a + l + 100 - high]))
+    assert all(len(c) == 1 for c in cores.values()) and len(cores) == len(set.union(*cores.values()))
 
 
 # --- decontamination ---
@@ -235,16 +245,6 @@ def test_url_lists_equal_brute_force(spark):
 # --- queries and pipeline ---
 
 
-@pytest.fixture(scope="module")
-def tables(spark, docs, corpus, tmp_path_factory):
-    at = str(tmp_path_factory.mktemp("tables"))
-    docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1).write.parquet(f"{at}/documents.parquet")
-    base = next(t for i, t in corpus if i == 204)
-    spark.createDataFrame([(1, " ".join(base.split()[2:14]))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
-    spark.createDataFrame([(i, f"http://h{i % 5}.d{i % 3}.test/p{i}") for i in range(40)], "page_id long, url string").write.parquet(f"{at}/pages.parquet")
-    return at
-
-
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, tables, name):
     import duckdb
