@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from certloom.errors import EngineError
 from certloom.operators.query import parse_bar
 from certloom.sources.export import lines, text_of
+from certloom.sources.loglist import find_log, read_log_list
 
 #: Rows of a terminal table without a limit of the user's.
 TABLE_ROWS = 100
@@ -36,14 +37,15 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--with-entries", action="store_true")
     u = sub.add_parser("update", help="ingest what a log has beyond the last batch")
     u.add_argument("log")
-    u.add_argument("url")
-    u.add_argument("--kind", default="rfc6962", choices=("rfc6962", "tiled"))
+    u.add_argument("url", nargs="?", default="", help="of a log that is not followed")
+    u.add_argument("--kind", default="", choices=("", "rfc6962", "tiled"))
     u.add_argument("--until", type=int)
     u.add_argument("--follow", metavar="INTERVAL", help="keep on, e.g. '10 minutes'")
     sub.add_parser("stats")
     v = sub.add_parser("verify")
     v.add_argument("--full", action="store_true")
     v.add_argument("--as-of", type=int, default=0)
+    v.add_argument("--json", action="store_true")
     r = sub.add_parser("rebuild")
     r.add_argument("table")
     r.add_argument("version", type=int)
@@ -52,7 +54,19 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("recover")
     x = sub.add_parser("explain-error")
     x.add_argument("code")
-    sub.add_parser("logs")
+    p2 = sub.add_parser("repair", help="write a batch's part of a table again from its certificates")
+    p2.add_argument("table")
+    p2.add_argument("commit_seq", type=int)
+    h = sub.add_parser("explore", help="hold a search and print one of its pages")
+    h.add_argument("query")
+    h.add_argument("--group", default="names")
+    h.add_argument("--sort", default="")
+    h.add_argument("--page", type=int, default=0)
+    h.add_argument("--size", type=int, default=200)
+    g = sub.add_parser("logs", help="the followed logs; add one of a log list, or show one of it")
+    g.add_argument("action", nargs="?", default="list", choices=("list", "add", "info"))
+    g.add_argument("name", nargs="?", default="")
+    g.add_argument("--list", dest="log_list", default="", help="a log list (v3) in JSON")
     return p
 
 
@@ -81,15 +95,15 @@ def run(spark, a: argparse.Namespace, out) -> None:
     elif a.command == "fetch":
         out.write(e.fetch(a.key, a.format, a.with_chain, a.with_entries))
     elif a.command == "update":
-        options = {"url": a.url, "kind": a.kind, "start": e.snapshot(allow_mixed=True).next_index(a.log)} | ({"end": a.until} if a.until else {})
-        stream = spark.readStream.format("ctlog").options(**options).load()
-        e.start_stream(stream, a.log, f"{a.root}/stream/{a.log}", tiled=a.kind == "tiled", every=a.follow).awaitTermination()
+        e.update(a.log, a.url, a.kind, a.until, a.follow).awaitTermination()
     elif a.command == "stats":
         say(json.dumps(e.stats(datetime.now(timezone.utc).replace(tzinfo=None)), indent=2, default=text_of))
     elif a.command == "verify":
         found = e.verify(a.full, a.as_of).collect()
-        for r in found:
-            say(f"{r['status']:5} {r['check']}" + f": {r['n']} problems, {r['examples'][:10]}" * bool(r["n"]))
+        if a.json:
+            say(json.dumps([r.asDict() for r in found], indent=2))
+        for r in [] if a.json else found:
+            say(f"{r['status']:7} {r['check']}" + f": {r['n']} problems, {r['examples'][:10]}" * bool(r["n"]))
         if any(r["n"] for r in found):
             from certloom.errors import VerificationError
 
@@ -99,8 +113,26 @@ def run(spark, a: argparse.Namespace, out) -> None:
     elif a.command in ("gc", "recover"):
         for name in e.gc() if a.command == "gc" else e.recover():
             say(name)
+    elif a.command == "repair":
+        e.repair(a.table, a.commit_seq)
+        say(f"{a.table} of commit {a.commit_seq} is written again")
+    elif a.command == "explore":
+        held = e.hold(parse_bar(a.query), group=a.group, sort=a.sort)
+        for line in lines("table", held.query.columns, held.page(a.page, a.size)):
+            say(line)
+        say(f"{held.total} rows")
+        held.close()
     elif a.command == "logs":
-        say(json.dumps(e.logs.all(), indent=2))
+        if a.action == "list":
+            say(json.dumps(e.logs.all(), indent=2))
+            return
+        if a.action == "info" and not a.log_list:
+            say(json.dumps(e.logs.get(a.name), indent=2))
+            return
+        found = find_log(read_log_list(spark, a.log_list), a.name)
+        if a.action == "add":
+            e.logs.add(found)
+        say(json.dumps(found, indent=2))
 
 
 def main(args: list[str] | None = None) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from certloom.errors import UsageError, VerificationError
 from certloom.functions.codes import codes_table, explain
 from certloom.operators import stats
 from certloom.operators.fetch import Fetcher
@@ -12,12 +13,13 @@ from certloom.operators.results import Results, hold
 from certloom.operators.search import search, search_page
 from certloom.operators.verify import verify
 from certloom.plans import rebuild as rebuilding
+from certloom.plans.heads import Heads
 from certloom.plans.ingest import Head, ingest_batch
-from certloom.sources.ctlog import LogSource
+from certloom.sources.ctlog import LogSource, open_log
 from certloom.sources.dataset import Dataset
 from certloom.sources.export import certificate_text, export
 from certloom.sources.loglist import LogRegistry
-from certloom.streaming.follow import follow
+from certloom.streaming.follow import BATCH_SIZE, audit, follow, record_incident
 
 
 class Engine:
@@ -87,6 +89,29 @@ class Engine:
     def start_stream(self, stream: DataFrame, log: str, checkpoint: str, **how):
         return follow(self.dataset, stream, log, checkpoint, **how)
 
+    def update(self, log: str, url: str = "", kind: str = "", until: int | None = None, every: str | None = None, batch_size: int = BATCH_SIZE):
+        """Starts ingesting what a log has beyond its last batch, as a stream of verified and audited batches.
+
+        A followed log's URL and kind are pinned. Its head is fetched for every batch, and batches are
+        committed only if they are proved to belong to it.
+        """
+        pinned = self.logs.all().get(log)
+        if pinned and ((url and url != pinned["url"]) or (kind and kind != pinned["kind"])):
+            raise UsageError(f"log {log} is pinned to {pinned['kind']} {pinned['url']}")
+        if not pinned and not url:
+            raise UsageError(f"log {log} is not followed; give its URL")
+        options = {"url": url or pinned["url"], "kind": kind or (pinned or {}).get("kind") or "rfc6962"}
+        heads = Heads(self.dataset, log, open_log(options), pinned)
+        try:
+            heads.newest()
+        except VerificationError as e:
+            record_incident(self.dataset, log, self.snapshot(allow_mixed=True).next_index(log), None, e)
+            raise
+        start = {"start": self.snapshot(allow_mixed=True).next_index(log)} | ({"end": until} if until else {})
+        stream = self.spark.readStream.format("ctlog").options(**options, **start).load()
+        checked = lambda m: audit(self.dataset, m)
+        return follow(self.dataset, stream, log, f"{self.dataset.root}/stream/{log}", heads, options["kind"] == "tiled", every, checked, batch_size)
+
     def stats(self, now, **more) -> dict:
         return stats.report(self.dataset, now, **more)
 

@@ -6,6 +6,8 @@ import re
 from bisect import bisect_left
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from certloom.sources.dataset import Dataset, Snapshot
 #: Matched certificates up to so many are known to the driver and prune files and row groups.
 LITERAL_IDS = 1000
 ISSUERS_SHOWN = 5
-#: Constructs that Java's regular expressions have and linear-time ones do not.
-_NOT_LINEAR = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|[*+?}]\+")
+#: Patterns that Java's engine reads alike and runs without deep backtracking: anchors, literals,
+#: escaped dots, plain classes, groups of alternatives that are not repeated, and at most two repetitions.
+_PLAIN_ITEM = r"(?:[A-Za-z0-9_-]|\\[.-]|\[\^?(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9._])+-?\]|\.)"
+_PLAIN = re.compile(rf"\^?(?:\((?:{_PLAIN_ITEM}|\|)+\)(?![*+?{{])|{_PLAIN_ITEM}[*+?]?(?![*+?{{]))*\Z")
 SORT, KEY = "__sort", "__key"
 
 
@@ -46,20 +50,35 @@ def name_predicate(q: Query, psl) -> Column:
         if not q.text:
             raise UsageError("contains: needs a text")
         return F.contains(F.lower(name), F.lit(q.text.lower()))
-    return name.rlike(checked_regex(q.text))
+    return matches(name, q.text)
 
 
 def checked_regex(pattern: str) -> str:
-    """A pattern that can run in linear time and compiles."""
-    if m := _NOT_LINEAR.search(pattern):
-        raise UsageError(f"regex: {m[0]} is not supported")
+    """A pattern of RE2's syntax; Arrow's engine, which runs it, compiles it here."""
     try:
-        re.compile(pattern)
-    except re.error as e:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid as e:
         raise UsageError(f"regex: {e}") from None
     return pattern
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Whether a regular expression matches anywhere, in time linear in the text.
+
+    Plain patterns run in the JVM; all others, whose syntax or backtracking would differ there, run
+    in RE2 over Arrow batches.
+    """
+    pattern = checked_regex(pattern)
+    if _PLAIN.match(pattern) and len(re.findall(r"[*+?]", pattern)) <= 2:
+        return text.rlike(pattern)
+
+    @F.arrow_udf("boolean")
+    def linear(values: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(values, pattern)
+
+    return linear(text)
+
+
 def _at(t: datetime) -> Column:
     """A time at millisecond precision."""
     return F.lit(t.replace(microsecond=t.microsecond // 1000 * 1000)).cast("timestamp_ntz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certloom.errors import UsageError, VerificationError
@@ -14,11 +14,15 @@ from certloom.functions.codes import NO_CERTIFICATE
 from certloom.functions.entries import decoded
 from certloom.functions.merkle import CHUNK_LEVELS, CompactRange, subtree_roots, verify_consistency
 from certloom.operators.numbering import durable, numbered
-from certloom.sources.dataset import Dataset, Snapshot
+from certloom.operators.stats import SEEDS, batch_facts, bytes_per_entry, peak_bytes, require_room
+from certloom.sources.dataset import Dataset
+from certloom.sources.footers import canary
 from certloom.sources.schemas import TABLES
 
-#: Earlier batches in which a final certificate's delta base is looked for; a base further back is not recorded.
-DELTA_BATCHES = 64
+#: Hashes and keys of one batch that are broadcast against the earlier batches; more are shuffled.
+BROADCAST_KEYS = 2_000_000
+#: The share of its volume that a dataset may fill, and the setting that changes it.
+DISK_CAP, CAP_CONF = 0.85, "spark.certloom.diskCap"
 #: Columns whose Parquet files get bloom filters, by table.
 BLOOM = {"certs": ("sha256",), "names": ("name", "etld1")}
 
@@ -32,10 +36,20 @@ class Head:
     timestamp: int = 0
 
 
-def _sha(c) -> F.Column:
+def _sha(c) -> Column:
     return F.unhex(F.sha2(c, 256))
 
 
+def chain_id(prints: Column) -> Column:
+    """The hash of a chain's fingerprints one after another."""
+    return _sha(F.aggregate(prints, F.lit(b""), lambda acc, x: F.concat(acc, x)))
+
+
+def first_seen(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Each value of key once, with the struct `at` of its least order columns."""
+    return rows.groupBy(key).agg(F.min(F.struct(*order)).alias("at"))
+
+
 def extend_tree(tree: CompactRange, leaves: DataFrame, first: int, last: int) -> CompactRange:
     """The tree with leaves (idx, leaf_hash) first..last added.
 
@@ -70,6 +84,12 @@ def check_tree(tree: CompactRange, head: Head | None, proof: list[bytes] | None)
         raise VerificationError(f"the first {tree.size} entries are not those of the signed tree of {head.size}")
 
 
+def _among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is among a batch's keys."""
+    keys = keys.select(column)
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, column, "left_semi")
+
+
 def ingest_batch(
     dataset: Dataset,
     raw: DataFrame,
@@ -82,7 +102,11 @@ def ingest_batch(
     """Commits raw entries (idx, leaf_input, extra_data) of one log and returns the manifest.
 
     The entries must follow the log's last batch without gaps. A batch committed before is
-    returned as it is, so a repeated micro-batch changes nothing.
+    returned as it is, so a repeated micro-batch changes nothing. Before anything is written the
+    volume must have room for it, and before the commit the written files are probed.
+
+    Earlier batches are scanned twice, for the hashes of certificates and for issuance keys, against
+    the batch's own ones, which are broadcast: nothing of the earlier batches is shuffled.
     """
     snap = dataset.snapshot(allow_mixed=True)
     rows = durable(decoded(raw.withColumn("log", F.lit(log)), tiled))
@@ -96,6 +120,12 @@ def ingest_batch(
     if first != snap.next_index(log) or last - first + 1 != stats["n"] or stats["d"] != stats["n"]:
         raise VerificationError(f"entries {first} to {last} ({stats['n']} rows) do not follow entry {snap.next_index(log) - 1} of {log}")
 
+    total, used = dataset.store.room()
+    if total:
+        sizes = bytes_per_entry(batch_facts(dataset, snap.as_of)).first() if snap.batches else None
+        need = peak_bytes(stats["n"], sizes["vault"] if sizes else SEEDS["vault"], sizes["parquet"] if sizes else SEEDS["parquet"])
+        require_room(total, used, need, float(dataset.spark.conf.get(CAP_CONF, str(DISK_CAP))))
+
     old = snap.tips().get(log)
     tree = CompactRange(old["tree"]["size"], [bytes.fromhex(x) for x in old["tree"]["compact_range"]]) if old else CompactRange()
     tree = extend_tree(tree, rows, first, last)
@@ -111,8 +141,8 @@ def ingest_batch(
     )
     keyed = seen.withColumn("sha256", _sha(F.col("der")))
     # each certificate once, where it is first seen; those of earlier batches drop out
-    firsts = keyed.groupBy("sha256").agg(F.min(F.struct("idx", "slot")).alias("at"))
-    known = dataset.table("vault", snap).select("sha256", F.col("cert_id").alias("known_id"))
+    firsts = durable(first_seen(keyed, "sha256", "idx", "slot"))
+    known = durable(_among(dataset.table("vault", snap).select("sha256", F.col("cert_id").alias("known_id")), firsts, "sha256"))
     new = firsts.join(known, "sha256", "left_anti").select("sha256", "at", F.col("at.idx").alias("idx"), F.col("at.slot").alias("slot"))
     new = numbered(new, [F.col("idx"), F.col("slot")], "cert_id", snap.next_cert_id())
     certs = durable(new.drop("at").join(keyed.drop("sha256"), ["idx", "slot"]))
@@ -130,7 +160,7 @@ def ingest_batch(
             "leaf_hash",
             F.substring("digest", 1, 16).alias("issuance_key"),
             "issuer_key_hash",
-            F.when(F.col("chain").isNotNull(), _sha(F.aggregate("prints", F.lit(b""), lambda acc, x: F.concat(acc, x)))).alias("chain_id"),
+            F.when(F.col("chain").isNotNull(), chain_id(F.col("prints"))).alias("chain_id"),
             "leaf_error",
             "prints",
         )
@@ -140,8 +170,10 @@ def ingest_batch(
     chains = fresh.select("chain_id", F.posexplode("prints").alias("position", "sha256")).join(ids, "sha256").select("chain_id", "position", "cert_id")
 
     # a final certificate's delta base: the earliest precertificate with its issuance key logged before it
+    keys = certs.where((F.col("kind") == "final") & F.col("digest").isNotNull()).select(F.substring("digest", 1, 16).alias("issuance_key")).distinct()
+    earlier = dataset.table("entries", snap).where(F.col("entry_type") == "precert").select("entry_type", "issuance_key", "cert_id", F.lit(-1).cast("long").alias("idx"))
     precerts = (
-        dataset.table("entries", snap, snap.batches[-DELTA_BATCHES:]).select("entry_type", "issuance_key", "cert_id", F.lit(-1).cast("long").alias("idx"))
+        _among(earlier, keys, "issuance_key")
         .unionByName(entries.select("entry_type", "issuance_key", "cert_id", "idx"))
         .where((F.col("entry_type") == "precert") & F.col("issuance_key").isNotNull() & F.col("cert_id").isNotNull())
         .groupBy("issuance_key").agg(F.min(F.struct("idx", "cert_id")).alias("p"))
@@ -162,21 +194,23 @@ def ingest_batch(
     versions = dataset.versions()
     for t in TABLES:
         m["derived"][t] = [versions[t]["active"]]
-        files[t] = dataset.write(table_rows(parsed, t), t, m, versions[t]["active"], bloom=BLOOM.get(t, ()))
+        files[t] = dataset.write(table_rows(parsed, t), t, m, versions[t]["active"], bloom=BLOOM.get(t, ())) | {"version": versions[t]["active"]}
 
     ends = certs.agg(F.min("cert_id"), F.max("cert_id"), F.count("*"), F.coalesce(F.sum(F.octet_length("der")), F.lit(0)), F.count("delta_base_cert_id")).first()
     status = table_rows(parsed, "certs").groupBy("parse_status").count().collect()
-    if files["entries"] != stats["n"] or files["vault"] != ends[2] or files["certs"] != ends[2]:
+    if files["entries"]["rows"] != stats["n"] or files["vault"]["rows"] != ends[2] or files["certs"]["rows"] != ends[2]:
         raise VerificationError(f"rows read back differ: {files}")
     m |= {
         "entries": stats["n"],
         "cert_id_range": [ends[0], ends[1]] if ends[2] else None,
-        "counts": {"entries": stats["n"], "new_certs": ends[2], "delta": ends[4], "vault_bytes": ends[3], "chains": files["chains"]},
+        "counts": {"entries": stats["n"], "new_certs": ends[2], "delta": ends[4], "vault_bytes": ends[3], "chains": files["chains"]["rows"]},
         "parse_status": {r["parse_status"]: r["count"] for r in status},
-        "files": {t: {"rows": n, "bytes": dataset.store.size(dataset.folder(t, m, versions.get(t, {}).get("active")))} for t, n in files.items()},
+        "files": files,
         "tree": {"size": tree.size, "root": tree.root().hex(), "compact_range": [n.hex() for n in tree.nodes]},
         "head": {"size": head.size, "root": head.root.hex(), "timestamp": head.timestamp} if head else None,
         "fetch": fetch or {},
     }
+    for t in ("certs", "names", "vault", "entries"):
+        canary(dataset, m, t, files[t].get("version"), ("sha256",) if t == "vault" else BLOOM.get(t, ()))
     dataset.commit(m)
     return m

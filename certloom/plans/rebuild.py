@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from certloom.errors import DatasetError, VerificationError
 from certloom.functions.certificates import built, table_rows
+from certloom.operators.numbering import durable
 from certloom.operators.verify import content_hash
 from certloom.plans.ingest import BLOOM
 from certloom.sources.dataset import GRACE_SECONDS, Dataset
@@ -44,7 +45,8 @@ def rebuild(dataset: Dataset, table: str, batches: int | None = None) -> int:
         return 0
     todo = [m for m in dataset.manifests() if version not in m["derived"].get(table, [])]
     for m in todo[:batches]:
-        dataset.write(_rebuilt(dataset, m, table), table, m, version, bloom=BLOOM.get(table, ()))
+        # the figures of the newest version; `repair` and `verify` read them
+        m["files"][table] = dataset.write(_rebuilt(dataset, m, table), table, m, version, bloom=BLOOM.get(table, ())) | {"version": version}
         m["derived"][table] = [*m["derived"].get(table, []), version]
         dataset.update_manifest(m)
     left = len(todo) - len(todo[:batches])
@@ -71,18 +73,17 @@ def collect_garbage(dataset: Dataset, now: float | None = None) -> list[str]:
     return gone
 
 
-def repair(dataset: Dataset, table: str, m: dict, expected: int | None = None) -> None:
+def repair(dataset: Dataset, table: str, m: dict, expected: str | None = None) -> None:
     """Writes a batch's part of a table again from its certificates.
 
-    expected: the content hash it must have; without it the row count of the manifest must match.
+    The rows must have the content hash that the manifest holds, or else `expected`. A version built
+    after the commit has none there; then it must be given.
     """
     version = m["derived"][table][-1]
     rows = _rebuilt(dataset, m, table).select(*[n for n, _ in columns(ddl_of(table, version))])
-    rows = rows.persist()
-    good = content_hash(rows) == expected if expected is not None else rows.count() == m["files"][table]["rows"]
-    if not good:
+    rows = durable(rows)
+    content = expected or (m["files"][table].get("content") if version == m["files"][table].get("version", version) else None)
+    if content_hash(rows) != content:
         raise VerificationError(f"{table} of batch {m['commit_seq']} cannot be rebuilt as committed")
-    dataset.write(rows, table, m, version, bloom=BLOOM.get(table, ()))
-    m["files"][table]["bytes"] = dataset.store.size(dataset.folder(table, m, version))
+    m["files"][table] |= dataset.write(rows, table, m, version, bloom=BLOOM.get(table, ()))
     dataset.update_manifest(m)
-    rows.unpersist()

@@ -2,7 +2,10 @@
 
 The tables hold no certificates, so they play parts: customer is certs, the hosts of pages are names,
 orders are entries (an order's customer is its certificate), lineitem and events are further streams.
-The functions called are the engine's own.
+The queries call the engine's functions on them; semi_join, anti_join, exists_share, full_outer_check,
+count_distinct, approx_distinct, delay_median, names_having, names_explode, union_by_name, intersect,
+except_distinct, rollup and previous_row only show that such SQL runs over the views. log_queries.py
+runs the engine whole, over a dataset that it ingests.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from certloom.operators import search, stats, verify
 from certloom.operators.fetch import nearest_links
 from certloom.operators.numbering import numbered
 from certloom.operators.query import Query
+from certloom.plans import ingest
 from certloom.sources.loglist import log_name_column
+from certloom.streaming.follow import entry_sessions, entry_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,10 +110,17 @@ class Tables:
             F.create_map(F.lit("ok"), F.col("entries"), F.lit("partial"), F.col("rate_limited")).alias("parse_status"),
         )
 
+    @property
+    def addresses(self) -> DataFrame:
+        """Addresses of some of the certificates, as rows of names."""
+        ip = F.concat(F.lit("192.0.2."), (F.col("cert_id") % 5).cast("string"))
+        return self.names.where(F.col("cert_id") % 9 == 0).select("cert_id", F.lit("san_ip").alias("source"), ip.alias("name"), F.lit(False).alias("is_wildcard"), F.lit(None).cast("string").alias("etld1"))
+
     def found(self, q: Query) -> DataFrame:
         """A search over the parts, as the engine runs it."""
         q = q.checked()
-        names = search.matched_names(q, self.names, names_.session_suffixes(self.spark))
+        every = self.names.unionByName(self.addresses) if q.mode == "ip" else self.names
+        names = search.matched_names(q, every, names_.session_suffixes(self.spark))
         return search.shaped(search.filtered(q, names, self.certs, self.entries.join(names.select("cert_id").distinct(), "cert_id", "left_semi")), q).drop(search.SORT, search.KEY)
 
 
@@ -167,7 +179,7 @@ def _search(name: str, q: Query, sql: str) -> None:
 _search("search_domain_names", Query("etld1", "example.net"), names_sql("etld1 = 'example.net'"))
 _search("search_suffix", Query("suffix", "blog.tiontion.example.com"), names_sql("etld1 = 'example.com' AND (name = 'blog.tiontion.example.com' OR ends_with(name, '.blog.tiontion.example.com'))"))
 _search("search_exact", Query("exact", "Spam-Farm.example.org."), names_sql("name = 'spam-farm.example.org'"))
-_search("search_ip", Query("ip", "192.0.2.1"), names_sql("name = '192.0.2.1' AND source IN ('san_ip', 'cn')"))
+_search("search_ip", Query("ip", "192.0.2.1"), names_sql("true").replace("SELECT cert_id, name FROM names WHERE true", "SELECT cert_id, '192.0.2.1' AS name FROM names WHERE cert_id % 9 = 0 AND cert_id % 5 = 1"))
 _search("search_contains", Query("contains", "BLOG"), names_sql("contains(lower(name), 'blog')"))
 _search("search_regex", Query("regex", r"^(m|blog)\.th[a-z]+\."), names_sql(r"regexp_matches(name, '^(m|blog)\.th[a-z]+\.')"))
 _search("search_wildcard", Query("contains", ".", wildcard=True), names_sql("contains(name, '.') AND is_wildcard"))
@@ -259,15 +271,16 @@ def link_nearest_7d(t: Tables) -> DataFrame:
     return nearest_links(t.entries, t.entries.where(F.col("entry_type") == "precert"), "precert")
 
 
-@query("SELECT cert_id, min(idx) AS first_idx, count(*) AS n FROM entries GROUP BY cert_id")
+@query("SELECT cert_id, min(idx) AS first_idx, arg_min(entry_type, idx) AS first_type FROM entries GROUP BY cert_id")
 def dedup_first_seen(t: Tables) -> DataFrame:
-    return t.entries.groupBy("cert_id").agg(F.min("idx").alias("first_idx"), F.count("*").alias("n"))
+    return ingest.first_seen(t.entries, "cert_id", "idx", "entry_type").select("cert_id", F.col("at.idx").alias("first_idx"), F.col("at.entry_type").alias("first_type"))
 
 
-@query("SELECT l_orderkey, sha256(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey)) AS chain_hash FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, sha256(string_agg(CAST(l_partkey AS VARCHAR), '' ORDER BY l_linenumber, l_partkey)) AS chain_hash FROM lineitem GROUP BY l_orderkey")
 def chain_hash(t: Tables) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))
-    return t.lineitem.groupBy("l_orderkey").agg(F.sha2(F.array_join(parts, ","), 256).alias("chain_hash"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string").cast("binary"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(parts.alias("prints"))
+    return rows.select("l_orderkey", F.lower(F.hex(ingest.chain_id(F.col("prints")))).alias("chain_hash"))
 
 
 @query("SELECT e.log, e.idx, date_diff('second', c.not_before, e.ct_ts) AS delay_s FROM entries e JOIN certs c USING (cert_id)")
@@ -385,7 +398,10 @@ def merkle_level(t: Tables) -> DataFrame:
     return merkle.fold_level(leaves).select("idx", F.lower(F.hex("hash")).alias("hash"))
 
 
-@query()
+_LEVEL = """l{1} AS (SELECT idx // 2 AS idx, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256('\\x01'::BLOB || unhex(min(CASE WHEN idx % 2 = 0 THEN h END)) || unhex(min(CASE WHEN idx % 2 = 1 THEN h END))) END AS h FROM l{0} GROUP BY idx // 2)"""
+
+
+@query(", l0 AS (SELECT event_id AS idx, sha256(CAST(event_id AS VARCHAR)) AS h FROM events), " + ", ".join(_LEVEL.format(i, i + 1) for i in range(6)) + " SELECT idx, h AS hash FROM l6")
 def merkle_subtrees(t: Tables) -> DataFrame:
     leaves = t.events.select(F.col("event_id").alias("idx"), F.unhex(F.sha2(F.col("event_id").cast("string"), 256)).alias("hash"))
     return merkle.subtree_roots(leaves, 6).select("idx", F.lower(F.hex("hash")).alias("hash"))
@@ -452,9 +468,13 @@ def log_name(t: Tables) -> DataFrame:
     return t.pages.select("page_id", log_name_column(F.lit(""), F.col("url")).alias("log_name"))
 
 
-@query("SELECT cert_id, 'names' AS \"table\" FROM (SELECT DISTINCT cert_id FROM names WHERE cert_id NOT IN (SELECT cert_id FROM certs WHERE kind <> 'chain')) UNION ALL SELECT cert_id, 'entries' FROM (SELECT DISTINCT cert_id FROM entries WHERE cert_id NOT IN (SELECT cert_id FROM certs WHERE kind <> 'chain'))")
+_LACKING = "(SELECT DISTINCT {0} AS cert_id FROM {1} WHERE {0} NOT IN (SELECT cert_id FROM certs WHERE kind <> 'chain'))"
+
+
+@query(" UNION ALL ".join(f"SELECT cert_id, '{name}' AS \"table\" FROM {_LACKING.format(column, table)}" for name, column, table in (("names", "cert_id", "names"), ("entries", "cert_id", "entries"), ("chains", "l_partkey", "lineitem"))))
 def dangling_references(t: Tables) -> DataFrame:
-    return verify.dangling(t.entries, t.entries.limit(0), t.names, t.certs.where(F.col("kind") != "chain"))
+    chains = t.lineitem.select(F.col("l_partkey").alias("cert_id"))
+    return verify.dangling(t.entries, chains, t.names, t.certs.where(F.col("kind") != "chain"))
 
 
 @query("SELECT cert_id, log FROM entries WHERE log = 'log1' UNION ALL SELECT cert_id, NULL FROM names")
@@ -479,8 +499,8 @@ def rollup(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_window(t: Tables) -> DataFrame:
-    w = t.events.withColumn("at", F.col("ts").cast("timestamp")).groupBy("event_type", F.window("at", "1 hour")).agg(F.count("*").alias("n"))
-    return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
+    entries = t.events.select(F.col("event_type").alias("log"), F.col("ts").alias("ct_ts"), F.col("user_id").alias("cert_id"))
+    return entry_windows(entries, "1 hour").select(F.col("log").alias("event_type"), F.col("window.start").cast("timestamp_ntz").alias("hour"), F.col("entries").alias("n"))
 
 
 @query("""
@@ -488,8 +508,8 @@ def tumbling_window(t: Tables) -> DataFrame:
 s AS (SELECT user_id, ts, sum(jump) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
 SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_window(t: Tables) -> DataFrame:
-    w = t.events.withColumn("at", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("at", "6 hours")).agg(F.count("*").alias("n"))
-    return w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
+    entries = t.events.select(F.col("user_id").alias("log"), F.col("ts").alias("ct_ts"))
+    return entry_sessions(entries, "6 hours").select(F.col("log").alias("user_id"), F.col("session_window.start").cast("timestamp_ntz").alias("started"), F.col("entries").alias("n"))
 
 
 @query("""

@@ -5,8 +5,8 @@
     spark.readStream.format("ctlog").options(url=..., maxEntriesPerTrigger=500000).load()
 
 Options: url (of the log, or of a folder with a tiled log's files), kind (rfc6962 or tiled), start,
-end, page (entries a request), partition (entries a task), maxEntriesPerTrigger, retries, rate
-(requests a second and task).
+end, page (entries a request), partition (least entries a task), tasks (most at a time, each with its
+share of the rate), maxEntriesPerTrigger, retries, rate (requests a second to the log).
 """
 
 from __future__ import annotations
@@ -164,9 +164,9 @@ class Tiled:
                     yield at, e.leaf_input(), e.extra_data(self.issuer)
 
 
-def open_log(options: dict, size: int | None = None):
-    """The log that options name, with paced and retried requests."""
-    pacer = Pacer(float(options.get("rate", 20)))
+def open_log(options: dict, size: int | None = None, share: int = 1):
+    """The log that options name, with paced and retried requests: one share-th of its rate."""
+    pacer = Pacer(float(options.get("rate", 20)) / share)
     retries = int(options.get("retries", 8))
     get = lambda url: get_retried(http_get, url, retries, pacer)
     return Tiled(options["url"], get, size) if options.get("kind") == "tiled" else Rfc6962(options["url"], get)
@@ -177,12 +177,15 @@ class Range(InputPartition):
     start: int
     end: int
     size: int
+    share: int = 1
 
 
-def ranges(start: int, end: int, size: int, step: int) -> list[Range]:
-    """Tasks that begin at multiples of the step, so that pages and tiles are asked for once."""
+def ranges(start: int, end: int, size: int, step: int, tasks: int = 2**62) -> list[Range]:
+    """At most so many tasks, which begin at multiples of the step, so that pages and tiles are asked for once."""
+    step *= max(1, -(-(end - start) // step // max(1, tasks - 1)) if tasks > 1 else end - start)
     cuts = [start, *range(start - start % step + step, end, step), end]
-    return [Range(a, b, size) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    pairs = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    return [Range(a, b, size, len(pairs)) for a, b in pairs]
 
 
 class LogReader(DataSourceReader):
@@ -192,12 +195,15 @@ class LogReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         size = open_log(self.options).size()
         end = min(int(self.options.get("end", size)), size)
-        return ranges(int(self.options.get("start", 0)), end, size, int(self.options.get("partition", 32 * WIDTH)))
+        return self.split(int(self.options.get("start", 0)), end, size)
+
+    def split(self, start: int, end: int, size: int) -> list[Range]:
+        return ranges(start, end, size, int(self.options.get("partition", 32 * WIDTH)), int(self.options.get("tasks", 4)))
 
     def read(self, partition: Range) -> Iterator[tuple]:
         if partition is None:
             return iter(())
-        return open_log(self.options, partition.size).entries(partition.start, partition.end, int(self.options.get("page", 32)))
+        return open_log(self.options, partition.size, partition.share).entries(partition.start, partition.end, int(self.options.get("page", 32)))
 
 
 class LogStream(LogReader, DataSourceStreamReader):
@@ -219,7 +225,7 @@ class LogStream(LogReader, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         self._at = max(self._at or 0, end["idx"])
-        return ranges(start["idx"], end["idx"], open_log(self.options).size(), int(self.options.get("partition", 32 * WIDTH)))
+        return self.split(start["idx"], end["idx"], open_log(self.options).size())
 
     def commit(self, end: dict) -> None:
         self._at = max(self._at or 0, end["idx"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.errors import DatasetError, VerificationError
@@ -25,6 +25,13 @@ def batch_name(first: int, last: int) -> str:
     return f"{first:012d}-{last:012d}"
 
 
+def content_sum(names: list[str]) -> Column:
+    """An aggregate over rows, whatever their order: their number and the sum of their hashes."""
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in names])
+    total = F.coalesce(F.sum(F.xxhash64(nulls, *[F.col(f"`{c}`") for c in names]).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return F.concat_ws(":", F.count("*").cast("string"), total.cast("string"))
+
+
 @dataclass
 class Snapshot:
     """A fixed list of committed batches and the version of each derived table to read."""
@@ -144,9 +151,10 @@ class Dataset:
 
     # --- writing ---
 
-    def write(self, df: DataFrame, table: str, m: dict, version: int | None = None, sort: list[str] | None = None, bloom: tuple[str, ...] = ()) -> int:
-        """Writes a batch's part of a table and returns its rows. Columns are cast to the declared types."""
-        path = self.store.path(self.folder(table, m, version))
+    def write(self, df: DataFrame, table: str, m: dict, version: int | None = None, sort: list[str] | None = None, bloom: tuple[str, ...] = ()) -> dict:
+        """Writes a batch's part of a table and reads it back: rows, bytes, and a hash of the content. Columns are cast to the declared types."""
+        folder = self.folder(table, m, version)
+        path, names = self.store.path(folder), [n for n, _ in columns(ddl_of(table, version))]
         typed = df.select(*[F.col(n).cast(t).alias(n) for n, t in columns(ddl_of(table, version))])
         if sort:
             typed = typed.repartitionByRange(*sort).sortWithinPartitions(*sort)
@@ -155,7 +163,8 @@ class Dataset:
             # a column that is all dictionary pages would get no filter
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")
         writer.parquet(path)
-        return self.spark.read.schema(ddl_of(table, version)).parquet(path).count()
+        found = self.spark.read.schema(ddl_of(table, version)).parquet(path).agg(F.count("*").alias("n"), content_sum(names).alias("c")).first()
+        return {"rows": found["n"], "bytes": self.store.size(folder), "content": found["c"]}
 
     def commit(self, m: dict) -> None:
         """Makes a batch visible: the manifest is written last, and never over another."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,20 +42,31 @@ class Store:
             stream.close()
 
     def write(self, name: str, text: str, overwrite: bool = False) -> None:
-        """Writes a whole file; visible by one rename."""
-        target = self._path(self.path(name))
-        if not overwrite and self._fs.exists(target):
-            raise FileExistsError(self.path(name))
-        part = self._path(self.path(name) + ".tmp")
-        stream = self._fs.create(part, True)
+        """Writes a whole file; visible by one rename, which replaces the old file or, without overwrite, fails over one."""
+        jvm, target = self.spark.sparkContext._jvm, self._path(self.path(name))
+        part = self._path(f"{self.path(name)}.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(part, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if overwrite:
-            self._fs.delete(target, False)
-        if not self._fs.rename(part, target):
-            raise FileExistsError(self.path(name))
+        options = jvm.org.apache.hadoop.fs.Options
+        how = self.spark.sparkContext._gateway.new_array(options.Rename, 1)
+        how[0] = options.Rename.OVERWRITE if overwrite else options.Rename.NONE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._fs.makeQualified(part), self._fs.makeQualified(target), how)
+        except Py4JJavaError as e:
+            self._fs.delete(part, False)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise FileExistsError(self.path(name)) from None
+            raise
+
+    def room(self) -> tuple[int, int]:
+        """(total, used) bytes of the volume; (0, 0) if the file system does not tell."""
+        status = self._fs.getStatus(self._path(self.root))
+        total = status.getCapacity()
+        return (total, status.getUsed()) if 0 < total < 2**62 else (0, 0)
 
     def read_json(self, name: str) -> dict:
         return json.loads(self.read(name))

@@ -18,6 +18,12 @@ from certloom.sources.dataset import Dataset
 BATCH_SIZE = 500_000
 
 
+def record_incident(dataset: Dataset, log: str, size: int, head: Head | None, problem: Exception) -> None:
+    """Keeps what a log served that does not fit, in incidents/."""
+    seen = {"log": log, "size": size, "head": head and {"size": head.size, "root": head.root.hex()}, "problem": str(problem), "at": time.time()}
+    dataset.store.write_json(f"incidents/{log}-{size}-{time.time_ns()}.json", seen)
+
+
 def follow(
     dataset: Dataset,
     stream: DataFrame,
@@ -40,13 +46,13 @@ def follow(
 
     def verified(part: DataFrame, size: int) -> dict:
         for attempt in (1, 2):
-            signed, proof = head(size) if head else (None, None)
+            signed = None
             try:
+                signed, proof = head(size) if head else (None, None)
                 return ingest_batch(dataset, part, log, signed, proof, tiled)
             except VerificationError as e:
                 if attempt == 2:
-                    seen = {"log": log, "size": size, "head": signed and {"size": signed.size, "root": signed.root.hex()}, "problem": str(e), "at": time.time()}
-                    dataset.store.write_json(f"incidents/{log}-{size}-{int(seen['at'])}.json", seen)
+                    record_incident(dataset, log, size, signed, e)
                     raise
         raise AssertionError
 
@@ -79,15 +85,19 @@ def entry_sessions(entries: DataFrame, gap: str, late: str = "10 minutes") -> Da
 
 
 def audit(dataset: Dataset, manifest: dict, sample: int = 8) -> list[str]:
-    """Looks up some of a batch's certificates by hash and id; returns what is not found.
+    """Looks up some of a batch's certificates, names and domains through the whole dataset; returns what is not found.
 
     The outcome is kept in health.json with the last 100 failures.
     """
     snap = dataset.snapshot(allow_mixed=True)
-    certs = dataset.table("certs", snap, [manifest]).orderBy("sha256").limit(sample).select("cert_id", "sha256").collect()
-    every = dataset.table("certs", snap)
-    found = {r["sha256"]: r["cert_id"] for r in every.where(F.col("sha256").isin([r["sha256"] for r in certs])).collect()} if certs else {}
-    problems = [f"commit {manifest['commit_seq']}: certificate {r['cert_id']} is not found" for r in certs if found.get(r["sha256"]) != r["cert_id"]]
+    problems = []
+    for table, column in (("certs", "sha256"), ("names", "name"), ("names", "etld1")):
+        mine = dataset.table(table, snap, [manifest]).where(F.col(column).isNotNull())
+        drawn = mine.groupBy(column).agg(F.min("cert_id").alias("cert_id")).orderBy(F.xxhash64(column), column).limit(sample).collect()
+        every = dataset.table(table, snap).where(F.col(column).isin([r[column] for r in drawn])) if drawn else None
+        wanted = F.col("cert_id").isin([r["cert_id"] for r in drawn])
+        found = {(r[column], r["cert_id"]) for r in every.where(wanted).select(column, "cert_id").distinct().collect()} if drawn else set()
+        problems += [f"commit {manifest['commit_seq']}: {column} {r[column]} of certificate {r['cert_id']} is not found" for r in drawn if tuple(r) not in found]
     old = dataset.store.read_json("health.json") if dataset.store.exists("health.json") else {"audits": 0, "failures": []}
     new = {"audits": old["audits"] + 1, "last_commit": manifest["commit_seq"], "failures": (old["failures"] + problems)[-100:]}
     dataset.store.write_json("health.json", new, overwrite=True)

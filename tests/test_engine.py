@@ -1,5 +1,6 @@
 """The engine over a small log: ingest, search, paging, retrieval, exports, audit, versions, streams."""
 
+import base64
 import hashlib
 import io
 import json
@@ -16,9 +17,12 @@ from certloom.functions import leaf, merkle
 from certloom.operators import stats
 from certloom.operators.fetch import Fetcher
 from certloom.operators.query import GROUPS, Query, parse_bar
+from certloom.operators.search import checked_regex, matches
+from certloom.operators.verify import content_hash
+from certloom.plans import heads
 from certloom.plans import rebuild as rebuilding
 from certloom.plans.ingest import Head
-from certloom.sources import ctlog, footers, schemas
+from certloom.sources import ctlog, footers, schemas, tiles
 from certloom.sources.loglist import LogRegistry, find_log, read_log_list
 from certloom.streaming.follow import audit, entry_sessions, entry_windows
 
@@ -161,7 +165,7 @@ def test_ingest_is_idempotent_and_strict(engine, spark):
 
 def test_verify(engine):
     found = {r["check"]: r["status"] for r in engine.verify(full=True).collect()}
-    assert set(found.values()) == {"ok"} and len(found) == 9
+    assert found.pop("kept heads are signed") == "skipped" and set(found.values()) == {"ok"} and len(found) == 10
     with pytest.raises(UsageError):
         engine.verify(as_of=9)
 
@@ -310,12 +314,183 @@ def test_command_line(engine, spark, tmp_path):
     assert table == ["NAME                CERTS", "host1.example.test  2"]
     assert json.loads(call("search", "example.test", "--format", "csv", "--export", str(tmp_path / "x.csv")))["row_count"] == 60
     assert call("fetch", "2").startswith("-----BEGIN") and "FAIL" not in call("verify")
+    assert {r["status"] for r in json.loads(call("verify", "--json"))} == {"ok"}
+    assert call("explore", "exact:host1.example.test", "--size", "5").splitlines()[-1] == "1 rows"
     assert "ext_duplicate (certificate)" in call("explain-error", "ext_duplicate")
     assert json.loads(call("stats"))["logs"]["a"]["committed_entries"] == 60
     with pytest.raises(UsageError):
         call("search", "nope:1")
 
 
+def test_content_hash(spark):
+    df = spark.createDataFrame([(1, "x", None), (2, None, "x"), (2, None, "x")], "a int, b string, c string")
+    moved = spark.createDataFrame([(1, None, "x"), (2, None, "x"), (2, None, "x")], "a int, b string, c string")
+    assert content_hash(df) == content_hash(df.orderBy(F.desc("a")).repartition(3)) != content_hash(moved)
+    assert content_hash(df).startswith("3:") and content_hash(df.limit(0)) == "0:0" and content_hash(df.distinct()) != content_hash(df)
+
+
+def test_store_replaces_and_refuses(engine):
+    store = engine.dataset.store
+    store.write("notes/x", "one")
+    with pytest.raises(FileExistsError):
+        store.write("notes/x", "two")
+    assert store.read("notes/x") == "one"
+    store.write("notes/x", "three", overwrite=True)
+    assert store.read("notes/x") == "three" and [n for n in store.names("notes") if not n.endswith(".crc")] == ["x"]
+    store.delete("notes")
+
+
+def test_tasks_share_the_rate():
+    for start, end, tasks in ((0, 5000, 4), (100, 300, 4), (250, 260, 4), (0, 100_000, 7), (10, 9000, 1)):
+        parts = ctlog.ranges(start, end, end, 256, tasks)
+        assert len(parts) <= tasks and parts[0].start == start and parts[-1].end == end and {p.share for p in parts} == {len(parts)}
+        assert all(a.end == b.start and b.start % 256 == 0 for a, b in zip(parts, parts[1:], strict=False))
+
+
+# --- signed heads ---
+
+
+class TiledLog:
+    """A tiled log in a folder, with a key from the JVM."""
+
+    def __init__(self, spark, folder):
+        self.jvm, self.folder = spark.sparkContext._jvm, folder
+        maker = self.jvm.java.security.KeyPairGenerator.getInstance("EC")
+        maker.initialize(256)
+        self.pair = maker.generateKeyPair()
+        spec = self.jvm.java.lang.Class.forName("java.security.spec.X509EncodedKeySpec")
+        self.key = bytes(self.jvm.java.security.KeyFactory.getInstance("EC").getKeySpec(self.pair.getPublic(), spec).getEncoded())
+        self.id = hashlib.sha256(self.key).digest()
+
+    def write(self, name, data):
+        (self.folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (self.folder / name).write_bytes(data)
+
+    def publish(self, entries, size=None, at=log.T0, root=None, key_bytes=None):
+        """Data and hash tiles of the entries, and a checkpoint of a size, by default of all."""
+        size = len(entries) if size is None else size
+        for n in range(-(-len(entries) // 256)):
+            data = b""
+            part = entries[256 * n : 256 * n + 256]
+            for _, a, b in part:
+                e = leaf.decode(a, b)
+                data += a[2:] + (log.vec(e.cert, 3) if e.entry_type == "precert" else b"")
+                data += log.vec(b"".join(hashlib.sha256(c).digest() for c in e.chain), 2)
+            self.write(tiles.data_path(n, len(part)), data)
+            self.write(tiles.tile_path(0, n, len(part)), b"".join(merkle.leaf_hash(a) for _, a, _ in part))
+        for c in (log.CA_CERT, log.SIGNER_CERT):
+            self.write(tiles.issuer_path(hashlib.sha256(c).digest()), c)
+        head = tiles.SignedHead(size, at, root or root_of(entries[:size]), b"")
+        signer = self.jvm.java.security.Signature.getInstance("SHA256withECDSA")
+        signer.initSign(self.pair.getPrivate())
+        signer.update(bytearray(tiles.signed_bytes(head)))
+        made = bytes(signer.sign())
+        raw = tiles.key_id("log.test", self.id) + at.to_bytes(8, "big") + b"\x04\x03" + len(made).to_bytes(2, "big") + made
+        text = f"log.test\n{size}\n{base64.b64encode(head.root).decode()}\n\n— log.test {base64.b64encode(raw).decode()}\n"
+        self.write("checkpoint", text.encode())
+
+    def pinned(self):
+        return {"name": "t", "kind": "tiled", "url": str(self.folder), "submission_url": "https://log.test/", "log_id": base64.b64encode(self.id).decode(), "key": base64.b64encode(self.key).decode(), "operator": "Op"}
+
+
+def test_update_commits_only_what_a_signed_head_proves(spark, tmp_path):
+    e, served = Engine(spark, str(tmp_path / "ds"), create=True), TiledLog(spark, tmp_path / "log")
+    with pytest.raises(UsageError):
+        e.update("t")
+    e.logs.add(served.pinned())
+    served.publish(ENTRIES[:14])
+    out = io.BytesIO()
+    command.run(spark, command.parser().parse_args([e.dataset.root, "update", "t"]), out)
+    assert e.snapshot().tips()["t"]["head"]["size"] == 14 and e.dataset.store.read_json("health.json") == {"audits": 1, "last_commit": 1, "failures": []}
+    served.publish(ENTRIES[:24], at=log.T0 + 1)
+    e.update("t", until=20).awaitTermination()
+    tip = e.snapshot().tips()["t"]
+    assert (tip["last"], tip["head"]["size"], tip["tree"]["size"]) == (19, 24, 20)
+    assert {r["check"]: r["status"] for r in e.verify(full=True).collect()}["kept heads are signed"] == "ok"
+    forked = [*ENTRIES[:3], (3, *ENTRIES[5][1:]), *ENTRIES[4:30]]
+    before = len(e.dataset.store.names("incidents"))
+    for publish, problem in (
+        (lambda: served.publish(forked, at=log.T0 + 2), "does not extend"),
+        (lambda: served.publish(ENTRIES[:24], size=22, at=log.T0 + 2), "shrank"),
+        (lambda: served.publish(ENTRIES[:24], at=log.T0 - 5), "older"),
+        (lambda: served.publish(ENTRIES[:24], root=b"r" * 32, at=log.T0 + 2), "root"),
+    ):
+        publish()
+        with pytest.raises(VerificationError, match=problem):
+            e.update("t")
+    other = TiledLog(spark, tmp_path / "log")
+    other.id = served.id
+    other.publish(ENTRIES[:26], at=log.T0 + 3)
+    with pytest.raises(VerificationError, match="signature"):
+        e.update("t")
+    assert len(e.dataset.store.names("incidents")) >= before + 5 and e.snapshot().tips()["t"]["last"] == 19
+    with pytest.raises(UsageError):
+        e.update("t", url="https://elsewhere.test/")
+
+
+def test_proofs_from_tiles():
+    leaves = [merkle.leaf_hash(str(i).encode()) for i in range(700)]
+    roots, tree = [merkle.CompactRange().root()], merkle.CompactRange()
+    for x in leaves:
+        tree.append(x)
+        roots.append(tree.root())
+
+    def served(size):
+        level, out = leaves[:size], {}
+        for number in range(3):
+            for n in range(-(-len(level) // 256)):
+                part = level[256 * n : 256 * n + 256]
+                out[f"x/{tiles.tile_path(number, n, len(part))}"] = b"".join(part)
+            whole = [level[i : i + 256] for i in range(0, len(level) - 255, 256)]
+            level = []
+            for row in whole:
+                while len(row) > 1:
+                    row = [merkle.node_hash(a, b) for a, b in zip(row[::2], row[1::2], strict=True)]
+                level += row
+        return ctlog.Tiled("x", lambda url: out[url], size)
+
+    for second in (1, 2, 7, 255, 256, 257, 300, 512, 513, 700):
+        source = served(second)
+        hashes = heads.HashTiles(source, second)
+        assert hashes.root(0, second) == roots[second]
+        for first in {1, 2, 3, 64, 200, 255, 256, 257, 299, 511, 512, 640, second - 1, second}:
+            if 0 < first <= second:
+                proof = heads.consistency(source, first, second)
+                assert merkle.verify_consistency(first, second, roots[first], roots[second], proof)
+                assert first == second or not merkle.verify_consistency(first, second, roots[first - 1], roots[second], proof)
+
+
+def test_heads_of_a_plain_log(engine):
+    answers = {"get-sth": {"tree_size": 9, "timestamp": 5, "sha256_root_hash": base64.b64encode(b"r" * 32).decode(), "tree_head_signature": ""}}
+    source = ctlog.Rfc6962("https://x.test", lambda url: json.dumps(answers[url.rsplit("/", 1)[1].split("?")[0]]).encode())
+    answers["get-sth-consistency"] = {"consistency": []}
+    h = heads.Heads(engine.dataset, "plain", source)
+    assert h.newest().size == 9 and heads.kept_head(engine.dataset, "plain").root == b"r" * 32
+    with pytest.raises(VerificationError):
+        h(10)
+    answers["get-sth"]["tree_size"] = 12
+    with pytest.raises(VerificationError, match="extend"):
+        h.newest()
+
+
+REGEX = ["a" * 40 + "!", "été.example.test", "www.example.test", "x", "alph:", "", None, "a\rb"]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "hits"),
+    [(r"^\p{L}+\.", {1, 2}), (r"(?P<a>x)$", {3}), (r"^[[:alpha:]]+$", {3}), (r"(a+)+$", set()), (r"^www\.", {2}), (r"(?i)WWW", {2}), (r"^a.b$", {7}), (r"\Qh:\E", {4}), (r"(www|été)\.e", {1, 2}), (r"x{1,2}", {1, 2, 3})],
+)
+def test_regex_dialect(spark, pattern, hits):
+    df = spark.createDataFrame(list(enumerate(REGEX)), "i int, name string")
+    assert {r["i"] for r in df.where(matches(F.col("name"), pattern)).collect()} == hits
+
+
+@pytest.mark.parametrize("pattern", ["a(?=b)", "a++", r"\1", "(", "(?>a)", "[[:nope:]]", r"\p{Nope}", "(?<=a)b"])
+def test_regex_refusals(pattern):
+    with pytest.raises(UsageError):
+        checked_regex(pattern)
+
+
 def test_room():
     stats.require_room(100, 50, 30)
     for args in ((100, 50, 36), (0, 0, 0), (100, 0, 1, 0.99)):
@@ -335,3 +510,12 @@ def test_versions(engine, monkeypatch):
     assert rebuilding.collect_garbage(engine.dataset, now=4e9) == ["cert_aia.p1"]
     engine.repair("names", 2)
     assert len(rows(engine, "example.test")) == 60
+    m = engine.dataset.manifests()[1]
+    folder = engine.dataset.store.path(engine.dataset.folder("names", m, 1))
+    engine.spark.createDataFrame([], schemas.ddl_of("names")).write.mode("overwrite").parquet(folder)
+    failed = {r["check"] for r in engine.verify(full=True).collect() if r["status"] == "FAIL"}
+    assert {"files are as committed", "checksums are as committed", "derived tables match their certificates"} <= failed
+    engine.repair("names", 2)
+    assert "FAIL" not in {r["status"] for r in engine.verify(full=True).collect()}
+    with pytest.raises(VerificationError):
+        rebuilding.repair(engine.dataset, "names", m, expected="1:2")
