@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm.common import checked_broadcast, durable, packed, table, text_hash
+from certloom.llm.common import checked_broadcast, durable, packed, skew_join, table, text_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A path has at most LEVELS sampled tokens; runs are repeated until a pair at the threshold shares
 #: a bucket of that depth with probability RECALL. Closer pairs and shallower buckets do better.
 LEVELS, RECALL = 3, 0.9999
 #: Buckets of more sets are split on; those of the last level that are still larger than a tile are
-#: compared tile by tile. A task holds two tiles at most.
-SMALL, TILE = 256, 1024
+#: compared tile by tile. A task holds two tiles at most, each of about so many sets and shingles.
+SMALL, TILE, TILE_SHINGLES = 256, 1024, 1_000_000
 #: Representatives whose keys are broadcast at most; beyond it their texts are found by a shuffle.
 BROADCAST_ROWS = 500_000
 WORD = re.compile(r"[^\W_]+")
@@ -193,26 +193,30 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _buckets(keyed: DataFrame, runs: int) -> DataFrame:
-    """(run, key, rep, n, m1, m2) of the buckets with two sets or more, each as deep as its size asks."""
+    """(run, key, rep, n, shingles, m1, m2) of the buckets with two sets or more, each as deep as its size asks.
+
+    A bucket of very many sets is met by its rows in a broadcast, not in one task.
+    """
     path = F.slice("keys", F.col("run") * LEVELS + 1, F.lit(LEVELS))
-    left = keyed.select("rep", "keys", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("rep", "run", path.alias("path"))
-    done = None
+    left = keyed.select("rep", "n_shingles", "keys", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("rep", "n_shingles", "run", path.alias("path"))
+    total, done = keyed.count() * runs, None
     for level in range(LEVELS):
         left = left.withColumn("key", F.col("path")[level])
         # one row a bucket from partial sums; buckets with equal members have equal sums
         sums = [F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(20,0)")).alias(f"m{i}") for i in (1, 2)]
-        sizes = left.groupBy("run", "key").agg(F.count("*").alias("n"), *sums).where(F.col("n") > 1)
-        joined = durable(left.join(sizes, ["run", "key"]))
+        sizes = left.groupBy("run", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), *sums).where(F.col("n") > 1)
+        joined = durable(skew_join(left, sizes, ["run", "key"], "n", total))
         last = level == LEVELS - 1
-        part = (joined if last else joined.where(F.col("n") <= SMALL)).select("run", "key", "rep", "n", "m1", "m2")
+        part = (joined if last else joined.where(F.col("n") <= SMALL)).select("run", "key", "rep", "n", "shingles", "m1", "m2")
         done = part if done is None else done.unionByName(part)
-        left = joined.where(F.col("n") > SMALL).select("rep", "run", "path")
+        left = joined.where(F.col("n") > SMALL).select("rep", "n_shingles", "run", "path")
+        total = left.count()
     return done
 
 
 def _links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """From every bucket's comparison the links of each of its sets (b null), and a spanning forest."""
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    tiles = F.least(F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)), F.col("n")).cast("int")
     other = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
         lambda t: F.struct(F.least(t, F.col("own")).alias("t1"), F.greatest(t, F.col("own")).alias("t2")),
@@ -279,10 +283,10 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
     reps = signs.groupBy(*same).agg(F.min("at").alias("first")).withColumn("rep", F.monotonically_increasing_id())
     weights = members.groupBy(*same).agg(F.count("*").alias("weight"))
     reps = durable(reps.join(weights, same))
-    keyed = reps.join(signs.groupBy("at").agg(F.first("keys").alias("keys")), F.col("first") == F.col("at")).select("rep", "keys")
+    keyed = reps.join(signs.groupBy("at").agg(F.first("keys").alias("keys")), F.col("first") == F.col("at")).select("rep", "n_shingles", "keys")
     placed = durable(_buckets(keyed, runs))
-    firsts = placed.groupBy("n", "m1", "m2").agg(F.min(F.struct("run", "key")).alias("f")).select("f.run", "f.key")
-    buckets = placed.join(firsts, ["run", "key"]).select("run", "key", "rep", "n")
+    firsts = placed.groupBy("n", "m1", "m2").agg(F.min(F.struct("run", "key")).alias("f")).select("f.run", "f.key", F.col("n").alias("members"))
+    buckets = skew_join(placed, firsts, ["run", "key"], "members", placed.count()).select("run", "key", "rep", "n", "shingles")
     by_run = F.map_from_entries(F.collect_set(F.struct("run", "key")))
     places = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0).cast("long")))
     busy = placed.groupBy("rep").agg(by_run.alias("m")).select("rep", places.alias("places"))
