@@ -88,28 +88,38 @@ def covered(sa: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+#: What precedes the members of an interval that do not all follow the same word.
+DIVERSE = -1
+
+
 def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, words: np.ndarray, docs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(document, words, occurrences) of each maximal repeat of at least `least` words.
 
     They are the LCP intervals whose members do not all follow the same word. Only runs of LCP
-    values that long are walked, with a stack.
+    values that long are walked; the stack holds of each open interval its length, its first rank and the
+    word before its members so far, which a closed interval hands to the one around it. So the walk
+    is linear, however deep intervals nest.
     """
-    out = []
-    for run in np.split(at := np.flatnonzero(lcp >= least), np.flatnonzero(np.diff(at) > 1) + 1) if len(lcp) else []:
-        if not len(run):
-            continue
-        stack: list[tuple[int, int]] = []
-        for i in [*run.tolist(), -1]:
-            value, left = (int(lcp[i]), i - 1) if i >= 0 else (0, 0)
+    out: list[tuple[int, int, int]] = []
+    at = np.flatnonzero(lcp >= least)
+    if not len(at):
+        return out
+    before = np.where((sa > 0) & (docs[sa - 1] == docs[sa]), words[sa - 1], DIVERSE)
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        low, high = int(run[0]) - 1, int(run[-1])
+        doc, stack = int(docs[sa[low]]), []
+        for rank, (word, value) in enumerate(zip(before[low : high + 1].tolist(), [*lcp[low + 1 : high + 1].tolist(), 0], strict=True)):
+            first = rank
             while stack and stack[-1][0] > value:
-                length, left = stack.pop()
-                right = (i if i >= 0 else int(run[-1]) + 1) - 1
-                members = sa[left : right + 1]
-                first = (members == 0) | (docs[members - 1] != docs[members])
-                if first.any() or len(np.unique(words[members - 1])) > 1:
-                    out.append((int(docs[members[0]]), length, len(members)))
-            if value and (not stack or stack[-1][0] < value):
-                stack.append((value, left))
+                length, first, held = stack.pop()
+                word = word if word == held else DIVERSE
+                if word == DIVERSE:
+                    out.append((doc, length, rank - first + 1))
+            if stack and stack[-1][0] == value:
+                if stack[-1][2] != word:
+                    stack[-1][2] = DIVERSE
+            elif value:
+                stack.append([value, first, word])
     return out
 
 
