@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm.common import ascii_fold, hash128, packed, table, text_hash
+from certloom.llm.common import ascii_fold, durable, hash128, packed, skew_join, table, text_hash
 
 #: Characters stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Shared line keys, and positions of dropped lines, that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def _line_keys(base: DataFrame, min_chars: int) -> DataFrame:
@@ -35,29 +37,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     document; each keeps its row. An empty table gives an empty result. Columns of docs named
     n_lines or n_dropped are replaced, all others stay.
 
-    Only hashes and positions travel through the shuffles that find the lines: pairs are made
-    distinct and counted with map-side partial sums, so a line in a third of all documents
-    costs each task one row, and its join partners sit on a side that AQE splits. Texts move once,
-    to meet the positions dropped from them.
+    Only hashes and positions travel through the shuffles that find the lines: lines are counted by
+    document and then by key with map-side partial sums, so a line in a third of all documents
+    costs each task one row. The keys that lose lines, and the positions, are broadcast up to
+    BROADCAST_ROWS. Beyond, lines meet the keys in a shuffle that leaves out the most frequent ones,
+    and texts move once, to meet the positions dropped from them.
     """
     base = docs.select(packed(docs).alias("row"), "doc_id", "text", text_hash(F.col("text")).alias("th"))
     keys = _line_keys(base.select("doc_id", "th", "text"), min_chars)
     shared = (
-        keys.select("h1", "h2", "doc_id")
-        .distinct()
+        keys.groupBy("h1", "h2", "doc_id")
+        .agg(F.count("*").alias("rows"))
         .groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+        .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"), F.sum("rows").alias("rows"))
         .where(F.col("n") >= min_docs)
-        .drop("n")
-    )
-    dropped = (
-        keys.join(shared, ["h1", "h2"])
-        .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id", "th")
-        .agg(F.collect_set("pos").alias("gone"))
     )
+    shared = durable(shared.select("h1", "h2", "keeper", "rows"))
+    found, total = shared.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    marked = keys.join(F.broadcast(shared), ["h1", "h2"]) if found <= BROADCAST_ROWS else skew_join(keys, shared, ["h1", "h2"], "rows", total)
+    dropped = marked.where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    if total <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.filter(F.col("lines"), lambda _, i: ~F.array_contains("gone", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.transform(places, lambda i: F.get("lines", i))
     whole = base.join(dropped, ["doc_id", "th"], "left").withColumn("lines", lines)
     others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     return whole.select(
