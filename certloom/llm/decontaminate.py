@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm.common import byte_chars, durable, packed, table, text_hash
+from certloom.llm.common import byte_chars, checked_broadcast, durable, packed, table, text_hash
 
 WINDOW = 10
-#: Windows broadcast at once; a larger benchmark is joined in blocks of so many.
+#: Windows broadcast at most. Of a larger benchmark only the windows' rarest words are, up to so many
+#: at once; the windows themselves are then shuffled.
 BLOCK_ROWS = 200_000
+#: Documents with hits whose figures are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -30,17 +33,17 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return starts.groupBy(text.alias("wtext"), "wlen").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def rarest_tokens(docs: DataFrame, windows: DataFrame, blocks: int) -> DataFrame:
+def rarest_tokens(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     """windows plus token, the window's word that is rarest in docs, and back, its place in the window.
 
     For exact containment a prefix of one token is necessary and sufficient.
     """
     placed = windows.select("wtext", F.posexplode(F.split("wtext", " ")).alias("back", "token"))
-    vocabulary = durable(placed.select("token").distinct())
+    vocabulary = placed.select("token").distinct()
     seen = docs.select(F.explode(words_of(F.col("text"))).alias("token"))
-    if blocks == 1:
-        vocabulary = F.broadcast(vocabulary)
-    counts = seen.join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    if small:
+        seen = seen.join(F.broadcast(vocabulary), "token", "left_semi")
+    counts = seen.groupBy("token").agg(F.count("*").alias("n"))  # partial sums come before the shuffle
     first = placed.join(counts, "token", "left").groupBy("wtext").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)), "token", "back")).alias("least")
     )
@@ -58,29 +61,36 @@ def contaminated_words(
     share a doc_id. Empty tables give no rows or no hits. Columns of docs with the names of the
     results are replaced.
 
-    Document words meet the windows' rarest words in a broadcast join, in blocks of block_rows
-    windows, so that no document text is shuffled and a hot passage costs nothing but its own
-    rows. The positional bound (the window must start and end inside the document) and the exact
-    comparison of the window are part of the join's condition. Hits are reduced by document.
+    Document words meet the windows' rarest words in a broadcast join, so that no document text is
+    shuffled and a hot passage costs nothing but its own rows. The positional bound (the window must
+    start and end inside the document) and the exact comparison of the window are part of the
+    join's condition. Of more than block_rows windows only the rarest words are broadcast; the words
+    around their occurrences then meet the windows in a shuffle. So the documents are read as often
+    as for a small benchmark, unless there are more than block_rows different rarest words. Hits are
+    reduced by document, and broadcast to the documents up to BROADCAST_ROWS.
     """
     windows = durable(item_windows(benchmark, window).withColumn("wid", F.monotonically_increasing_id()))
-    n_windows = windows.count()
-    blocks = max(1, -(-n_windows // block_rows))
-    prefixes = durable(rarest_tokens(docs.select("text"), windows, blocks))
+    small = windows.count() <= block_rows
+    prefixes = durable(rarest_tokens(docs.select("text"), windows, small))
     base = docs.select(packed(docs).alias("row"), "doc_id", text_hash(F.col("text")).alias("th"), words_of(F.col("text")).alias("words"))
     tokens = base.select("doc_id", "th", "words", F.posexplode("words").alias("pos", "token"))
-    hits = None
-    for block in range(blocks):
-        part = prefixes.where(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == block) if blocks > 1 else prefixes
-        start = F.col("pos") - F.col("back")
-        found = tokens.join(
-            F.broadcast(part),
-            (tokens["token"] == part["token"])
-            & (start >= 0)
-            & (start + F.col("wlen") <= F.size("words"))
-            & (F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("wlen")), " ") == F.col("wtext")),
-        ).select("doc_id", "th", start.alias("start"), (start + F.col("wlen")).alias("end"), "items")
-        hits = found if hits is None else hits.unionByName(found)
+    start = F.col("pos") - F.col("back")
+    span = start.alias("start"), (start + F.col("wlen")).alias("end")
+    if small:
+        inside = (start >= 0) & (start + F.col("wlen") <= F.size("words"))
+        same = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("wlen")), " ") == F.col("wtext")
+        hits = tokens.join(F.broadcast(prefixes), (tokens["token"] == prefixes["token"]) & inside & same).select("doc_id", "th", *span, "items")
+    else:
+        rare, hits = durable(prefixes.select("token").distinct()), None
+        blocks = max(1, -(-rare.count() // block_rows))
+        first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+        for block in range(blocks):
+            part = F.broadcast(rare.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == block))
+            near = tokens.join(part, "token").select("doc_id", "th", "pos", "token", first.alias("first"), F.slice("words", first + 1, F.lit(2 * window - 1)).alias("around"))
+            inside = (start >= F.col("first")) & (start - F.col("first") + F.col("wlen") <= F.size("around"))
+            same = F.array_join(F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("wlen")), " ") == F.col("wtext")
+            found = near.join(prefixes.hint("shuffle_hash"), (near["token"] == prefixes["token"]) & inside & same).select("doc_id", "th", *span, "items")
+            hits = found if hits is None else hits.unionByName(found)
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
         F.struct(F.lit(0).alias("reach"), F.lit(0).alias("n")),
@@ -92,6 +102,8 @@ def contaminated_words(
     by_doc = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).agg(
         merged.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
+    by_doc = durable(by_doc)
+    by_doc = checked_broadcast(by_doc, by_doc.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0))).first()[0], BROADCAST_ROWS)
     names = ("n_words", "n_hit", "n_items", "items")
     sized = base.select("row", "doc_id", "th", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"))
     return sized.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("th").eqNullSafe(F.col("hit_th")), "left").select(
