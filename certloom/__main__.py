@@ -8,7 +8,9 @@ import sys
 from datetime import datetime, timezone
 
 from certloom.errors import EngineError
+from certloom.functions.text import plural
 from certloom.operators.query import parse_bar
+from certloom.sources import sample
 from certloom.sources.export import lines, text_of
 from certloom.sources.loglist import find_log, read_log_list
 
@@ -54,6 +56,13 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("recover")
     x = sub.add_parser("explain-error")
     x.add_argument("code")
+    c = sub.add_parser("sample", help="capture, verify or measure a sample of a followed log")
+    c.add_argument("action", choices=("capture", "verify", "measure"))
+    c.add_argument("folder", help="of all samples to capture, else of one sample")
+    c.add_argument("--log", default="")
+    c.add_argument("--kind", default="canonical", choices=("canonical", "representative"))
+    c.add_argument("--entries", type=int, default=sample.LEAST)
+    c.add_argument("--start", default="0", help="an index, or 'head' for the last whole window")
     p2 = sub.add_parser("repair", help="write a batch's part of a table again from its certificates")
     p2.add_argument("table")
     p2.add_argument("commit_seq", type=int)
@@ -103,7 +112,7 @@ def run(spark, a: argparse.Namespace, out) -> None:
         if a.json:
             say(json.dumps([r.asDict() for r in found], indent=2))
         for r in [] if a.json else found:
-            say(f"{r['status']:7} {r['check']}" + f": {r['n']} problems, {r['examples'][:10]}" * bool(r["n"]))
+            say(f"{r['status']:7} {r['check']}" + f": {plural(r['n'], 'problem')}, {r['examples'][:10]}" * bool(r["n"]))
         if any(r["n"] for r in found):
             from certloom.errors import VerificationError
 
@@ -113,6 +122,13 @@ def run(spark, a: argparse.Namespace, out) -> None:
     elif a.command in ("gc", "recover"):
         for name in e.gc() if a.command == "gc" else e.recover():
             say(name)
+    elif a.command == "sample":
+        if a.action == "capture":
+            say(e.capture(a.folder, a.log, a.kind, a.entries, None if a.start == "head" else int(a.start)))
+        elif a.action == "verify":
+            say(f"{plural(sample.load(spark, a.folder).count(), 'entry', 'entries')} verified")
+        else:
+            say(json.dumps(sample.measure(sample.load(spark, a.folder)), indent=2, default=text_of))
     elif a.command == "repair":
         e.repair(a.table, a.commit_seq)
         say(f"{a.table} of commit {a.commit_seq} is written again")
@@ -120,7 +136,7 @@ def run(spark, a: argparse.Namespace, out) -> None:
         held = e.hold(parse_bar(a.query), group=a.group, sort=a.sort)
         for line in lines("table", held.query.columns, held.page(a.page, a.size)):
             say(line)
-        say(f"{held.total} rows")
+        say(plural(held.total, "row"))
         held.close()
     elif a.command == "logs":
         if a.action == "list":

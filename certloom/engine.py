@@ -15,6 +15,7 @@ from certloom.operators.verify import verify
 from certloom.plans import rebuild as rebuilding
 from certloom.plans.heads import Heads
 from certloom.plans.ingest import Head, ingest_batch
+from certloom.sources import sample
 from certloom.sources.ctlog import LogSource, open_log
 from certloom.sources.dataset import Dataset
 from certloom.sources.export import certificate_text, export
@@ -130,5 +131,10 @@ class Engine:
         batch = next(m for m in self.dataset.manifests() if m["commit_seq"] == commit_seq)
         rebuilding.repair(self.dataset, table, batch)
 
+    def capture(self, folder: str, log: str, kind: str, count: int, start: int | None = None, **limits) -> str:
+        """Captures a sample of a followed log."""
+        pinned = self.logs.get(log)
+        return sample.capture(self.spark, folder, log, {"url": pinned["url"], "kind": pinned["kind"]}, kind, count, start, pinned, **limits)
+
     def recover(self) -> list[str]:
         return self.dataset.recover()

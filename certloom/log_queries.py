@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import csv
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certloom.engine import Engine
+from certloom.functions import merkle
 from certloom.operators import stats, verify
 from certloom.operators.fetch import Fetcher
-from certloom.operators.numbering import durable
+from certloom.operators.numbering import durable, numbered
 from certloom.operators.query import parse_bar
 from certloom.queries import Tables, query
-from certloom.sources import ctlog
-from certloom.sources.synthetic import raw_entries
+from certloom.sources import ctlog, sample
+from certloom.sources.dataset import entry_certs
+from certloom.sources.loglist import read_log_list
+from certloom.sources.synthetic import RAW, raw_entries
 from certloom.streaming.follow import entry_sessions, entry_windows
 
 #: One entry in so many is malformed.
@@ -373,3 +377,73 @@ SELECT log, min(ct_ts) AS started, count(*) AS entries FROM s GROUP BY log, k"""
 def log_sessions(t: Tables) -> DataFrame:
     rows = entry_sessions(_table(t, "entries").where(F.col("ct_ts").isNotNull()), "2 days")
     return rows.select("log", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "entries")
+
+
+@log_query("""
+, x AS (SELECT idx, number, kind FROM e WHERE log = 'a'), p AS (SELECT number, min(idx) AS at FROM x WHERE kind = 'precert' GROUP BY number),
+f AS (SELECT number, kind, min(idx) AS first FROM x GROUP BY number, kind),
+l AS (SELECT coalesce(p.at < x.idx, false) AS linked, coalesce(p.at > x.idx, false) AS later, f.first = x.idx AS new FROM x LEFT JOIN p USING (number) JOIN f USING (number, kind) WHERE kind = 'final')
+SELECT (SELECT count(*) FROM every WHERE log = 'a') AS entries, count(*) AS finals, count(*) FILTER (WHERE linked) AS linked, count(*) FILTER (WHERE later) AS precert_later,
+  count(*) FILTER (WHERE linked AND new) AS eligible, (SELECT count(*) FROM x) AS seen, (SELECT count(*) FROM f) AS different, (SELECT count(DISTINCT (unit, team)) FROM e WHERE log = 'a') AS authorities,
+  (SELECT count(*) FROM every WHERE log = 'a' AND bad) AS malformed FROM l""")
+def log_measure(t: Tables) -> DataFrame:
+    m = sample.measure(raw_entries(_rows(t).where(F.col("log") == "a"), MALFORMED))
+    links, leaf = m["links"], m["leaf_certificates"]
+    row = (m["entries"], *(links[c] for c in ("finals", "linked", "precert_later", "eligible")), leaf["seen"], leaf["unique"], m["chain_certificates"]["unique"], sum(r["n"] for r in m["leaf_errors"]))
+    return t.spark.createDataFrame([row], "entries long, finals long, linked long, precert_later long, eligible long, seen long, different long, authorities long, malformed long")
+
+
+@query("""
+WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, * FROM supplier)
+SELECT 's' AS log, idx, TIMESTAMP '2020-01-01' + to_hours(CAST(idx AS INTEGER)) AS ct_ts, CASE WHEN idx % 2 = 0 THEN 'precert' ELSE 'x509' END AS entry_type,
+  'h' || s_suppkey || '.supply.example' AS subject_cn, 'Org ' || s_nationkey AS issuer_o FROM s""")
+def log_stream(t: Tables) -> DataFrame:
+    """The suppliers as a log that is streamed into a dataset of its own, in batches."""
+    durable(t.spark.range(1))
+    root = f"{t.spark.sparkContext.getCheckpointDir()}/suppliers-log-{uuid.uuid4().hex}"
+    rows = numbered(t.supplier, [F.col("s_suppkey")], "idx", 0).select(
+        F.col("idx").cast("long").alias("idx"), (F.lit(1577836800000) + F.col("idx") * 3600000).cast("long").alias("ts_ms"), (F.col("idx") % 2 == 0).alias("precert"),
+        F.col("s_suppkey").alias("number"), F.lit("SUPPLY").alias("unit"), F.col("s_nationkey").alias("team"),
+    )
+    raw_entries(rows).write.parquet(f"{root}-raw")
+    e = Engine(t.spark, root, create=True)
+    size = max(1, rows.count() // 2)
+    e.start_stream(t.spark.readStream.schema(RAW).parquet(f"{root}-raw"), "s", f"{root}-progress", batch_size=size).awaitTermination()
+    dataset, snap = e.dataset, e.snapshot()
+    return entry_certs(dataset.table("entries", snap), dataset.table("certs", snap)).select("log", "idx", "ct_ts", "entry_type", "subject_cn", "issuer_o")
+
+
+@query("""
+WITH n AS (SELECT *, regexp_replace(lower(n_name), '[^a-z0-9]', '_', 'g') || n_nationkey AS name FROM nation)
+SELECT name, r_name AS operator, 'rfc6962' AS kind, 'https://ct.example/' || name || '/' AS url, 'usable' AS state FROM n JOIN region ON r_regionkey = n_regionkey""")
+def log_list(t: Tables) -> DataFrame:
+    """A log list of one log a nation, its regions the operators."""
+    durable(t.spark.range(1))
+    nations = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name", "n_nationkey")
+    name = F.concat(F.regexp_replace(F.lower("n_name"), "[^a-z0-9]", "_"), F.col("n_nationkey").cast("string"))
+    log = F.struct(
+        F.concat(F.lit("log of "), "n_name").alias("description"), F.lit("id").alias("log_id"), F.lit("key").alias("key"), F.concat(F.lit("https://ct.example/"), name, F.lit("/")).alias("url"),
+        F.create_map(F.lit("usable"), F.struct(F.lit("2024").alias("timestamp"))).alias("state"),
+    )
+    operators = nations.groupBy("r_name").agg(F.collect_list(log).alias("logs")).select(F.col("r_name").alias("name"), "logs")
+    listed = operators.agg(F.collect_list(F.struct("name", "logs")).alias("operators")).select(F.lit("3").alias("version"), "operators")  # one row a region
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/log-list-{uuid.uuid4().hex}"
+    listed.coalesce(1).write.json(path)
+    return read_log_list(t.spark, path).select("name", "operator", "kind", "url", "state")
+
+
+@log_query("SELECT DISTINCT 'CN=' || issuer_cn || ',O=' || issuer_o AS issuer_dn, 'ecdsa-with-SHA256' AS sig_alg FROM c")
+def log_issuer_names(t: Tables) -> DataFrame:
+    return _table(t, "certs").select("issuer_dn", "sig_alg").distinct()
+
+
+@log_query("SELECT log, max(idx) AS last, count(*) AS size, true AS same FROM every GROUP BY log")
+def log_roots(t: Tables) -> DataFrame:
+    """The logs' tips: their trees, folded anew from all leaves, have the committed roots."""
+    dataset, snap = _snap(t)
+    leaves = dataset.table("entries", snap).select("log", "idx", F.col("leaf_hash").alias("hash"))
+    rows = []
+    for log, m in sorted(snap.tips().items()):
+        root = merkle.merkle_root(leaves.where(F.col("log") == log).drop("log"), m["tree"]["size"])
+        rows.append((log, m["last"], m["tree"]["size"], root.hex() == m["tree"]["root"]))
+    return t.spark.createDataFrame(rows, "log string, last long, size long, same boolean")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certloom.errors import CapError
+from certloom.functions.text import human_bytes
 from certloom.sources.dataset import Dataset
 
 #: Windows and least samples of the estimates.
@@ -104,7 +105,7 @@ def require_room(total: float, used: float, need: float, cap: float = 0.85) -> N
     if not 0 < cap <= 0.95:
         raise CapError(f"the disk limit must be above 0 and at most 0.95, not {cap}")
     if not total or used + need > cap * total:
-        raise CapError(f"{need:.0f} bytes more would take the volume beyond {cap:.0%} of {total:.0f}")
+        raise CapError(f"{human_bytes(need)} more would take the volume beyond {cap:.0%} of {human_bytes(total)}")
 
 
 def projected_cap(now: datetime, headroom: float, per_entry: float | None, remaining: int | None, rate: float | None, growth: float | None) -> tuple[datetime | None, str]:
@@ -215,5 +216,16 @@ def reservoir(rows: DataFrame, k: int, seed: int) -> DataFrame:
 
 def hash_sample(rows: DataFrame, column: str, every: int = 16) -> DataFrame:
     """The rows whose SHA-256 starts with a byte below 256 / every: the same ones in every run."""
-    first = F.conv(F.substring(F.sha2(F.col(column), 256), 1, 2), 16, 10).cast("int")
-    return rows.where(first < 256 // every)
+    return rows.where(_sampled(F.col(column), every))
+
+
+def _sampled(c: Column, every: int) -> Column:
+    return F.conv(F.substring(F.sha2(c, 256), 1, 2), 16, 10).cast("int") < 256 // every
+
+
+def scaled_estimate(rows: DataFrame, column: str, value: str, every: int = 16) -> DataFrame:
+    """approximate, records, sampled, sampled_sum and estimate: the sum of value over the hash sample of column, scaled to all rows."""
+    flagged = rows.select(F.col(value).cast("long").alias("v"), _sampled(F.col(column), every).alias("s"))
+    out = flagged.agg(F.count("*").alias("records"), F.count_if("s").alias("sampled"), F.coalesce(F.sum(F.when(F.col("s"), F.col("v"))), F.lit(0)).alias("sampled_sum"))
+    scaled = F.when(F.col("sampled") > 0, F.call_function("div", F.col("sampled_sum") * F.col("records"), F.col("sampled")))
+    return out.select(F.lit(True).alias("approximate"), "records", "sampled", "sampled_sum", scaled.alias("estimate"))

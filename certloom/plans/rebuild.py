@@ -23,7 +23,11 @@ def _rebuilt(dataset: Dataset, m: dict, table: str) -> DataFrame:
 
 
 def begin_version(dataset: Dataset, table: str, version: int, in_place: bool = False) -> None:
-    """Starts a version beside the active one, or in place of it; then readers must allow mixed rows."""
+    """Starts a version beside the active one, or in place of it.
+
+    In place, each batch's old rows go when its new ones are committed; until all are converted
+    readers must allow mixed rows.
+    """
     if (table, version) not in DERIVED:
         raise DatasetError(f"{table} has no version {version}")
     active = dataset.versions()
@@ -43,15 +47,20 @@ def rebuild(dataset: Dataset, table: str, batches: int | None = None) -> int:
     version = active[table].get("building")
     if not version:
         return 0
+    in_place = active[table].get("in_place")
     todo = [m for m in dataset.manifests() if version not in m["derived"].get(table, [])]
     for m in todo[:batches]:
         # the figures of the newest version; `repair` and `verify` read them
         m["files"][table] = dataset.write(_rebuilt(dataset, m, table), table, m, version, bloom=BLOOM.get(table, ())) | {"version": version}
-        m["derived"][table] = [*m["derived"].get(table, []), version]
+        old = m["derived"].get(table, [])
+        m["derived"][table] = [version] if in_place else [*old, version]
         dataset.update_manifest(m)
+        for v in old if in_place else []:
+            dataset.store.delete(dataset.folder(table, m, v))
     left = len(todo) - len(todo[:batches])
     if not left:
-        active[table] = {"active": version, "retiring": active[table]["active"], "switched_at": time.time()}
+        retiring = {} if in_place else {"retiring": active[table]["active"], "switched_at": time.time()}
+        active[table] = {"active": version} | retiring
         dataset.store.write_json("active.json", active, overwrite=True)
     return left
 

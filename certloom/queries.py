@@ -390,6 +390,14 @@ def hash_sample_16(t: Tables) -> DataFrame:
     return stats.hash_sample(t.orders.withColumn("k", F.col("o_orderkey").cast("string")), "k").select("o_orderkey", "o_orderdate")
 
 
+@query("""
+, s AS (SELECT CAST(o_totalprice AS BIGINT) AS v, ('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 2))::INTEGER < 16 AS s FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders))
+SELECT true AS approximate, count(*) AS records, count(*) FILTER (WHERE s) AS sampled, (sum(v) FILTER (WHERE s))::BIGINT AS sampled_sum, ((sum(v) FILTER (WHERE s)) * count(*) // count(*) FILTER (WHERE s))::BIGINT AS estimate FROM s""")
+def scaled_estimate(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_orderkey").cast("string").alias("k"), F.floor("o_totalprice").alias("v"))
+    return stats.scaled_estimate(rows, "k", "v")
+
+
 @query("""
 , leaf AS (SELECT event_id AS idx, sha256(CAST(event_id AS VARCHAR)) AS h FROM events)
 SELECT idx // 2 AS idx, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256('\\x01'::BLOB || unhex(min(CASE WHEN idx % 2 = 0 THEN h END)) || unhex(min(CASE WHEN idx % 2 = 1 THEN h END))) END AS hash FROM leaf GROUP BY idx // 2""")

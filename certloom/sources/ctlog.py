@@ -129,11 +129,16 @@ class Rfc6962:
                 start += 1
 
 
+#: Issuers that a worker keeps, by fingerprint, the one used last at the end. A worker runs one task at a time.
+MOST_ISSUERS = 10_000
+_ISSUERS: dict[bytes, bytes] = {}
+
+
 class Tiled:
     """A log of static tiles, or a mirrored folder of them."""
 
     def __init__(self, url: str, get: Callable[[str], bytes], size: int | None = None):
-        self.url, self.get, self._size, self._issuers = url.rstrip("/"), get, size, {}
+        self.url, self.get, self._size = url.rstrip("/"), get, size
 
     def size(self) -> int:
         if self._size is None:
@@ -141,13 +146,16 @@ class Tiled:
         return self._size
 
     def issuer(self, fingerprint: bytes) -> bytes:
-        """An issuer's bytes, which must hash to the fingerprint; each is asked for once."""
-        if fingerprint not in self._issuers:
+        """An issuer's bytes, which must hash to the fingerprint. Those used last are kept by the worker for all its tasks."""
+        der = _ISSUERS.pop(fingerprint, None)
+        if der is None:
             der = self.get(f"{self.url}/{issuer_path(fingerprint)}")
             if hashlib.sha256(der).digest() != fingerprint:
                 raise ValueError(f"issuer {fingerprint.hex()} has other bytes")
-            self._issuers[fingerprint] = der
-        return self._issuers[fingerprint]
+            if len(_ISSUERS) >= MOST_ISSUERS:
+                _ISSUERS.pop(next(iter(_ISSUERS)))
+        _ISSUERS[fingerprint] = der
+        return der
 
     def entries(self, start: int, end: int, page: int) -> Iterator[tuple]:
         for n in range(start // WIDTH, -(-end // WIDTH)):

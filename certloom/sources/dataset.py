@@ -8,7 +8,7 @@ A batch exists when its manifest does; readers never list data folders.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from certloom.sources.store import Store
 
 #: A retired version's files stay so long for readers that began before.
 GRACE_SECONDS = 24 * 3600
+#: Rows of one file at most, some 500 MB of certificates.
+FILE_ROWS = 500_000
 
 
 def batch_name(first: int, last: int) -> str:
@@ -137,17 +139,34 @@ class Dataset:
         return out
 
     def views(self, as_of: int = 0) -> list[str]:
-        """Registers every table, batches, entry_certs and logging_delay as temporary views."""
-        snap = self.snapshot(as_of, allow_mixed=True)
+        """Registers every table, batches, entry_certs and logging_delay as temporary views.
+
+        A version that is being built is <table>_building. A table that is converted in place has no
+        view of its own: what is still of the old version is <table>_previous.
+        """
+        snap, versions = self.snapshot(as_of, allow_mixed=True), self.versions()
         names = []
+
+        def view(name: str, df: DataFrame) -> None:
+            df.createOrReplaceTempView(name)
+            names.append(name)
+
         for t in ("entries", "chains", "vault", *TABLES):
-            self.table(t, snap).createOrReplaceTempView(t)
-            names.append(t)
-        self.batches(as_of).createOrReplaceTempView("batches")
-        e, c = self.table("entries", snap), self.table("certs", snap)
-        entry_certs(e, c).createOrReplaceTempView("entry_certs")
-        logging_delay(e, c).createOrReplaceTempView("logging_delay")
-        return [*names, "batches", "entry_certs", "logging_delay"]
+            state = versions.get(t, {})
+            held = lambda v, t=t: [m for m in snap.batches if v in m["derived"].get(t, [])]
+            if state.get("building"):
+                view(f"{t}_building", self.table(t, replace(snap, active=snap.active | {t: state["building"]}), held(state["building"])))
+            if state.get("in_place"):
+                view(f"{t}_previous", self.table(t, snap, held(state["active"])))
+                self.spark.catalog.dropTempView(t)
+            else:
+                view(t, self.table(t, snap))
+        view("batches", self.batches(as_of))
+        if "certs" in names:
+            e, c = self.table("entries", snap), self.table("certs", snap)
+            view("entry_certs", entry_certs(e, c))
+            view("logging_delay", logging_delay(e, c))
+        return names
 
     # --- writing ---
 
@@ -158,7 +177,7 @@ class Dataset:
         typed = df.select(*[F.col(n).cast(t).alias(n) for n, t in columns(ddl_of(table, version))])
         if sort:
             typed = typed.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        writer = typed.write.mode("overwrite").option("compression", "zstd")
+        writer = typed.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
         for c in bloom:
             # a column that is all dictionary pages would get no filter
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")

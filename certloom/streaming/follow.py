@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from certloom.errors import VerificationError
 from certloom.operators.numbering import durable
 from certloom.plans.ingest import Head, ingest_batch
+from certloom.plans.rebuild import rebuild
 from certloom.sources.dataset import Dataset
 
 #: Entries of one committed batch.
@@ -34,6 +35,7 @@ def follow(
     every: str | None = None,
     after: Callable[[dict], None] | None = None,
     batch_size: int = BATCH_SIZE,
+    turns: int = 1,
 ) -> StreamingQuery:
     """Starts ingesting a stream (idx, leaf_input, extra_data).
 
@@ -41,7 +43,8 @@ def follow(
     the trigger's interval; without it the stream ends when all that is there is ingested. after is
     called with each manifest. A micro-batch becomes batches of batch_size entries; run again after
     a failure, it skips what is committed. Entries that do not match the signed head are tried once
-    more with a new head; then an incident is recorded and the stream stops.
+    more with a new head; then an incident is recorded and the stream stops. After each batch, `turns`
+    old batches of every table that is being rebuilt are built.
     """
 
     def verified(part: DataFrame, size: int) -> dict:
@@ -66,11 +69,25 @@ def follow(
             manifest = verified(part, min(low + batch_size - 1, last) + 1)
             if after:
                 after(manifest)
+            for table, state in dataset.versions().items():
+                if turns and state.get("building"):
+                    rebuild(dataset, table, turns)
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
 
 
+def stop_after_batch(query: StreamingQuery, seconds: float = 3600) -> bool:
+    """Stops a stream between two micro-batches; false if one is still at work after so many seconds."""
+    end = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"]:
+        if time.monotonic() > end:
+            return False
+        time.sleep(0.2)
+    query.stop()
+    return True
+
+
 def entry_windows(entries: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Entries and distinct certificates (approximate) by log and window of ct_ts, for streams with late data."""
     timed = entries.withColumn("at", F.col("ct_ts").cast("timestamp")).withWatermark("at", late)

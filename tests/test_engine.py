@@ -22,7 +22,7 @@ from certloom.operators.verify import content_hash
 from certloom.plans import heads
 from certloom.plans import rebuild as rebuilding
 from certloom.plans.ingest import Head
-from certloom.sources import ctlog, footers, schemas, tiles
+from certloom.sources import ctlog, footers, sample, schemas, tiles
 from certloom.sources.loglist import LogRegistry, find_log, read_log_list
 from certloom.streaming.follow import audit, entry_sessions, entry_windows
 
@@ -315,7 +315,7 @@ def test_command_line(engine, spark, tmp_path):
     assert json.loads(call("search", "example.test", "--format", "csv", "--export", str(tmp_path / "x.csv")))["row_count"] == 60
     assert call("fetch", "2").startswith("-----BEGIN") and "FAIL" not in call("verify")
     assert {r["status"] for r in json.loads(call("verify", "--json"))} == {"ok"}
-    assert call("explore", "exact:host1.example.test", "--size", "5").splitlines()[-1] == "1 rows"
+    assert call("explore", "exact:host1.example.test", "--size", "5").splitlines()[-1] == "1 row"
     assert "ext_duplicate (certificate)" in call("explain-error", "ext_duplicate")
     assert json.loads(call("stats"))["logs"]["a"]["committed_entries"] == 60
     with pytest.raises(UsageError):
@@ -428,6 +428,60 @@ def test_update_commits_only_what_a_signed_head_proves(spark, tmp_path):
         e.update("t", url="https://elsewhere.test/")
 
 
+def test_samples(spark, tmp_path):
+    served = TiledLog(spark, tmp_path / "log")
+    served.publish(ENTRIES[:44])
+    options, small = {"url": str(tmp_path / "log"), "kind": "tiled"}, {"boundary": 10, "least": 10, "most": 40}
+    folder = sample.capture(spark, str(tmp_path / "samples"), "t", options, "canonical", 40, 0, served.pinned(), **small)
+    assert folder.endswith("t/000000000000-000000000039")
+    raw = sample.load(spark, folder)
+    assert sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in raw.collect()) == ENTRIES[:40]
+    with pytest.raises(FileExistsError):
+        sample.capture(spark, str(tmp_path / "samples"), "t", options, "canonical", 40, 0, served.pinned(), **small)
+    for kind, start, count in (("canonical", 10, 20), ("canonical", 0, 15), ("representative", 5, 10), ("canonical", 0, 50), ("other", 0, 10), ("canonical", None, 10)):
+        with pytest.raises(UsageError):
+            sample.capture(spark, str(tmp_path / "more"), "t", options, kind, count, start, served.pinned(), **small)
+    assert sample.start_at_head(44, 20, 10) == 20
+    report = sample.measure(raw)
+    assert report["entries"] == 40 and report["links"]["finals"] == report["links"]["linked"] == 20 and report["links"]["p50"] == 1000
+    assert report["leaf_certificates"]["hits"] == 0 and report["chain_certificates"]["unique"] == 2 and report["leaf_errors"] == []
+    assert sum(g["records"] for g in report["compression"]) == 40 and all(0 < g["ratio"] for g in report["compression"])
+    out = io.BytesIO()
+    Engine(spark, str(tmp_path / "ds"), create=True)
+    command.run(spark, command.parser().parse_args([str(tmp_path / "ds"), "sample", "verify", folder]), out)
+    assert out.getvalue() == b"40 entries verified\n"
+    manifest = json.loads((tmp_path / "samples/t/000000000000-000000000039/sample.json").read_text())
+    other = TiledLog(spark, tmp_path / "fork")
+    other.publish([*ENTRIES[:7], (7, *ENTRIES[3][1:]), *ENTRIES[8:44]])
+    with pytest.raises(VerificationError):
+        forked = served.pinned() | {"key": None}
+        (tmp_path / "fork" / "checkpoint").write_bytes((tmp_path / "log" / "checkpoint").read_bytes())
+        sample.capture(spark, str(tmp_path / "bad"), "t", {"url": str(tmp_path / "fork"), "kind": "tiled"}, "canonical", 40, 0, forked, **small)
+    assert manifest["content"].startswith("40:") and not (tmp_path / "bad/t/000000000000-000000000039/sample.json").exists()
+
+
+def test_the_tree_left_of_a_leaf():
+    leaves = [merkle.leaf_hash(str(i).encode()) for i in range(40)]
+
+    def path(index, low, high):
+        if high - low == 1:
+            return []
+        k = 1 << (high - low - 1).bit_length() - 1
+        sub = lambda a, b: merkle_root(leaves[a:b])
+        return [*path(index, low, low + k), sub(low + k, high)] if index < low + k else [*path(index, low + k, high), sub(low, low + k)]
+
+    def merkle_root(part):
+        tree = merkle.CompactRange()
+        for x in part:
+            tree.append(x)
+        return tree.root()
+
+    for size in (1, 2, 7, 8, 33, 40):
+        for index in range(size):
+            tree = sample.left_of(leaves[index], index, size, path(index, 0, size), merkle_root(leaves[:size]))
+            assert tree.root() == merkle_root(leaves[:index])
+
+
 def test_proofs_from_tiles():
     leaves = [merkle.leaf_hash(str(i).encode()) for i in range(700)]
     roots, tree = [merkle.CompactRange().root()], merkle.CompactRange()
@@ -502,12 +556,23 @@ def test_versions(engine, monkeypatch):
     monkeypatch.setitem(schemas.DERIVED, ("cert_aia", 2), schemas.DERIVED["cert_aia", 1])
     with pytest.raises(DatasetError):
         rebuilding.begin_version(engine.dataset, "cert_aia", 9)
-    assert engine.rebuild("cert_aia", 2, in_place=True, batches=2) == len(engine.dataset.manifests()) - 2
-    assert engine.snapshot().active["cert_aia"] == 1
+    n = len(engine.dataset.manifests())
+    assert engine.rebuild("cert_aia", 2, batches=2) == n - 2 and engine.snapshot().active["cert_aia"] == 1
+    assert {"cert_aia", "cert_aia_building"} <= set(engine.views())
     assert engine.rebuild("cert_aia", 2) == 0
     assert engine.snapshot().active["cert_aia"] == 2 and engine.dataset.versions()["cert_aia"]["retiring"] == 1
     assert engine.gc() == []
     assert rebuilding.collect_garbage(engine.dataset, now=4e9) == ["cert_aia.p1"]
+    monkeypatch.setitem(schemas.DERIVED, ("cert_scts", 2), schemas.DERIVED["cert_scts", 1])
+    scts = engine.dataset.table("cert_scts", engine.snapshot()).count()
+    assert engine.rebuild("cert_scts", 2, in_place=True, batches=1) == n - 1
+    with pytest.raises(DatasetError, match="in place"):
+        engine.snapshot()
+    mixed = engine.snapshot(allow_mixed=True)
+    assert engine.dataset.table("cert_scts", mixed).count() == scts and "cert_scts" not in engine.views()
+    assert engine.spark.table("cert_scts_building").count() + engine.spark.table("cert_scts_previous").count() == scts
+    assert engine.rebuild("cert_scts", 2) == 0 and engine.dataset.versions()["cert_scts"] == {"active": 2}
+    assert engine.dataset.table("cert_scts", engine.snapshot()).count() == scts and not engine.dataset.store.exists(engine.dataset.folder("cert_scts", engine.dataset.manifests()[0], 1))
     engine.repair("names", 2)
     assert len(rows(engine, "example.test")) == 60
     m = engine.dataset.manifests()[1]

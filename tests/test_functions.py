@@ -379,3 +379,10 @@ def test_retries_and_pace():
 def test_codes_are_frozen():
     assert [len(f) for f in (codes.ENTRY, codes.CERTIFICATE, codes.EXTENSION)] == [14, 28, 8]
     assert {f for f, _ in codes.explain("ext_duplicate")} == {"certificate", "extension"} and codes.explain("nope") == []
+
+
+def test_numbers_as_text():
+    from certloom.functions.text import human_bytes, plural
+
+    assert [plural(n, "row") for n in (0, 1, 12345)] == ["0 rows", "1 row", "12,345 rows"] and plural(2, "entry", "entries") == "2 entries"
+    assert [human_bytes(n) for n in (0, 999, 1536, 12_900_000, 512 * 2**30)] == ["0 B", "999 B", "1.50 KiB", "12.3 MiB", "512 GiB"]
