@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from certloom.llm.common import durable, table
 ORDER, LEAST_SEEN = 3, 2
 #: Bounds of the training sample of one language: documents, and bytes of their whole texts.
 SAMPLE_DOCS, SAMPLE_BYTES = 240, 2_000_000
-#: Languages in memory at once; more are learned and scored block by block.
-BLOCK_LANGS = 16
+#: Languages, and bytes of their tables, in memory at once; more are learned and scored block by block.
+BLOCK_LANGS, BLOCK_BYTES = 16, 256_000_000
 #: Bytes of the tables from codes to states that a model may keep.
 STATES_BYTES = 256_000_000
 #: Bytes scored at once.
@@ -111,6 +112,21 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_states": None}
 
+    def parts(self, most_bytes: int) -> list[Model]:
+        """Models of these languages in order, with tables of most_bytes or of one language each."""
+        out: list[Model] = []
+        size = 0
+        for lang, tree in zip(self.langs, self.trees, strict=True):
+            if not out or size + tree.bits.nbytes > most_bytes:
+                size = 0
+                part = copy.copy(self)
+                part.langs, part.trees, part._states = [], [], None
+                out.append(part)
+            out[-1].langs.append(lang)
+            out[-1].trees.append(tree)
+            size += tree.bits.nbytes
+        return out
+
     def code_lengths(self, data: np.ndarray, ends: np.ndarray, piece: int = PIECE) -> np.ndarray:
         """Bits of each text under each language: texts x languages.
 
@@ -168,7 +184,7 @@ def _bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, block_langs: int = BLOCK_LANGS) -> Model | Blocks:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, block_langs: int = BLOCK_LANGS, block_bytes: int = BLOCK_BYTES) -> Model | Blocks:
     """A model from a bounded sample of labelled documents (doc_id, text, lang).
 
     For every language: whole texts in the order of a hash of doc_id, up to sample_docs documents
@@ -176,7 +192,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     sample_bytes bytes. Rows with null text or lang do not count. Ties in the hash fall to the
     smaller text hash.
 
-    The driver holds the keys of all samples, and the texts and trees of block_langs languages.
+    The driver holds the keys of all samples, and the texts and trees of block_langs languages. An
+    executor's Python worker holds tables of block_bytes at once, or of one language.
     """
     size = F.octet_length("text").cast("long")
     good = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0))
@@ -205,13 +222,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
         return {k: sorted(v) for k, v in samples.items()}
 
     if len(langs) <= block_langs:
-        return Model(texts(found.join(F.broadcast(keys), ["lang", "draw", "th"]).dropDuplicates(["lang", "draw", "th"])))
+        whole = Model(texts(found.join(F.broadcast(keys), ["lang", "draw", "th"]).dropDuplicates(["lang", "draw", "th"])))
+        parts = whole.parts(block_bytes)
+        return whole if len(parts) < 2 else Blocks(langs, [spark.sparkContext.broadcast(m) for m in parts])
     sample = durable(found.join(keys, ["lang", "draw", "th"]).dropDuplicates(["lang", "draw", "th"]).select("lang", "text"))
     seen = np.zeros(256, bool)
     for r in sample.select("text").mapInArrow(_bytes_seen, "seen binary").collect():
         seen |= np.frombuffer(bytes(r["seen"]), bool)
     blocks = [langs[i : i + block_langs] for i in range(0, len(langs), block_langs)]
-    return Blocks(langs, [spark.sparkContext.broadcast(Model(texts(sample.where(F.col("lang").isin(b))), seen)) for b in blocks])
+    return Blocks(langs, [spark.sparkContext.broadcast(m) for b in blocks for m in Model(texts(sample.where(F.col("lang").isin(b))), seen).parts(block_bytes)])
 
 
 _ASCII_LETTER = np.zeros(256, bool)

@@ -130,7 +130,7 @@ def expected_quality(text):
     lines = [x for x in (text or "").split("\n") if BLANK.search(x)]
     failed = len(words) < 10 or 100 * len(five) > 20 * len(words)
     chars, part = sum(map(len, words)), sum(len(words[i]) for i in eight)
-    kept = not failed and part <= 0.2 * chars and longest <= 100
+    kept = not failed and part <= 0.2 * chars and longest <= 40
     return len(words), chars, len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(five), part, longest, failed, kept
 
 
@@ -180,7 +180,9 @@ def expected_lines(corpus, min_docs=3):
     return sorted(out, key=repr)
 
 
-def test_line_dedup_equals_brute_force(docs, no_docs, corpus):
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_line_dedup_equals_brute_force(docs, no_docs, corpus, monkeypatch, rows):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
     out = line_dedup.dedup_lines(docs)
     assert by_row(out.select("doc_id", "text", "n_lines", "n_dropped")) == expected_lines(corpus)
     assert set(docs.columns) <= set(out.columns) and line_dedup.dedup_lines(no_docs).count() == 0
@@ -306,6 +308,10 @@ def test_every_label_is_learned(spark):
     for r in language_id.identify(df, whole).collect():
         got = found[r["doc_id"]]
         assert got["lang_pred"] == r["lang_pred"] and got["score"] == pytest.approx(r["score"]) and got["bits"] == pytest.approx(r["bits"])
+    small = language_id.train(df.where("lang < 'l06'"), block_bytes=1)
+    assert len(small.parts) == 6
+    few = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df.where("lang < 'l06'"), small).collect()}
+    assert all(few[i] == lang for i, _, lang in rows if lang < "l06")
     for tree in whole.trees[:3]:
         assert (tree.find(np.arange(tree.size**3)) == tree.states()).all()
 
