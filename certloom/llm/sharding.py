@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from certloom.llm.common import durable, packed, table
 
-#: Source partitions and slot buckets a shard; both bound what the driver holds and broadcasts.
-PARTITIONS, BUCKETS = 1024, 256
+#: Source partitions and slot buckets a shard, at least; more where they would hold over WINDOW_ROWS
+#: rows, which one task sorts. The driver holds shards numbers a partition.
+PARTITIONS, BUCKETS, WINDOW_ROWS = 1024, 256, 2_000_000
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -68,7 +69,7 @@ def communication_matrix(rows: dict[int, int], shards: list[int], seed: int) ->
     return out
 
 
-def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, partitions: int = PARTITIONS) -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, partitions: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """docs in random order over shards, plus shard (int) and slot (long, gapless from 0).
 
     Every row is placed; shard sizes differ by one at most, whatever the columns hold: nulls,
@@ -85,13 +86,16 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, p
     spark = docs.sparkSession
     salt = [int.from_bytes(hashlib.sha256(f"{seed}/{k}".encode()).digest()[:7], "big") for k in "abc"]
     rid = F.monotonically_increasing_id()
-    rows = durable(docs.select(packed(docs).alias("row"), rid.alias("rid"))).select(
+    rows = durable(docs.select(packed(docs).alias("row"), rid.alias("rid")))
+    total = rows.count()
+    partitions = partitions or max(PARTITIONS, -(-total // window_rows))
+    bits = max(int(math.log2(BUCKETS)), math.ceil(math.log2(max(1, total / shards / window_rows))))
+    rows = rows.select(
         "row",
         "rid",
         F.pmod(F.xxhash64(F.lit(salt[0]), "rid"), F.lit(partitions)).cast("int").alias("part"),
     )
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = spark.createDataFrame(communication_matrix(counts, sizes, seed), "part int, ends array<bigint>")
     local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(salt[1]), "rid"), "rid")
@@ -104,7 +108,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, p
             F.size(F.filter("ends", lambda end: end < F.col("nth"))).alias("shard"),
             F.xxhash64(F.lit(salt[2]), "rid").alias("key"),
         )
-        .withColumn("bucket", F.shiftrightunsigned("key", 64 - int(math.log2(BUCKETS))))
+        .withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
     )
     dealt = durable(dealt.select("row", "rid", "shard", "bucket", "key"))
     heads = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
