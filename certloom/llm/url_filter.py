@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from certloom.llm.common import checked_broadcast, durable, packed, table
+from certloom.llm.common import durable, packed, table
 
-#: Intervals broadcast at most; a longer list is joined by shuffle, its hot keys split by AQE.
-BROADCAST_ROWS = 200_000
+#: Intervals broadcast at most; a longer list is joined by shuffle, with SALTS copies of each interval, so
+#: that a pattern of very many captures, such as a top-level domain, is met in as many tasks.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
 def host_of(url: Column) -> Column:
@@ -69,14 +70,14 @@ def active_entries(captures: DataFrame, entries: DataFrame, most_rows: int = BRO
     time) pairs, so a page captured again and again is judged once.
     """
     spans = durable(intervals(entries))
-    spans = checked_broadcast(spans, spans.count(), most_rows)
     different = captures.select("url", "fetched_at").where(F.col("url").isNotNull() & F.col("fetched_at").isNotNull()).distinct()
-    hits = (
-        different.select("url", "fetched_at", F.explode(candidates(F.col("url"))).alias("c"))
-        .select("url", "fetched_at", "c.rank", "c.pattern")
-        .join(spans, "pattern")
-        .where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
-    )
+    wanted = different.select("url", "fetched_at", F.explode(candidates(F.col("url"))).alias("c")).select("url", "fetched_at", "c.rank", "c.pattern")
+    if spans.count() <= most_rows:
+        met = wanted.join(F.broadcast(spans), "pattern")
+    else:
+        salted = wanted.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS)))
+        met = salted.join(spans.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["pattern", "salt"])
+    hits = met.where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     judged = hits.groupBy(F.col("url").alias("hit_url"), F.col("fetched_at").alias("hit_at")).agg(
         F.min(F.struct("rank", "pattern", "valid_from")).alias("best"), F.count("*").alias("n_active")
     )
