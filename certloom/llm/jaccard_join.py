@@ -20,7 +20,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 LEVELS, RECALL = 3, 0.9999
 #: Buckets of more sets are split on; those of the last level that are still larger than a tile are
 #: compared tile by tile. A task holds two tiles at most, each of about so many sets and shingles.
-SMALL, TILE, TILE_SHINGLES = 256, 1024, 1_000_000
+SMALL, TILE, TILE_SHINGLES = 256, 1024, 600_000
 #: Representatives whose keys are broadcast at most; beyond it their texts are found by a shuffle.
 BROADCAST_ROWS = 500_000
 WORD = re.compile(r"[^\W_]+")
@@ -95,7 +95,7 @@ def paths(hashes: np.ndarray, ends: np.ndarray, runs: int, levels: int) -> np.nd
     return out
 
 
-def _pieces(batch: pa.RecordBatch, column: int, most: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _pieces(batch: pa.RecordBatch, column: int, most: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     low = 0
     while low < len(batch):
         texts, size = [], 0
