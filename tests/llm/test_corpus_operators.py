@@ -146,6 +146,7 @@ def test_contamination_equals_brute_force(spark, docs, no_docs, corpus, monkeypa
     items = [(1, " ".join(long[5:40]).upper()), (2, "shared BY many"), (3, "ÉCOLE, ssß"), (4, ""), (5, None), (6, "é"), (7, "twice the same row"), (1, "another text"), (None, "same id"), (8, " ".join(long[20:29]) + " other words here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     for block in (200_000, 7):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", block if block > 7 else 0)
         out = decontaminate.contaminated_words(docs, benchmark, block_rows=block)
         got = rows_of(out.select("doc_id", "text", "n_words", "n_hit", "n_items", "items"))
         assert got == sorted(((i, t, n, h, len(f), f) for i, t in corpus for n, h, f in [expected_hits(t, items)]), key=repr)
@@ -180,6 +181,7 @@ def expected_classes(corpus):
 def test_near_duplicates_equal_brute_force(docs, no_docs, corpus, monkeypatch, small):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "TILE", small)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 500_000 if small > 2 else 0)
     want = expected_classes(corpus)
     out = jaccard_join.near_duplicates(docs)
     assert out.count() == docs.count()
