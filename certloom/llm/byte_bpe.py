@@ -80,10 +80,17 @@ class Encoder:
         self.blob = np.frombuffer(b"".join(words), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         self.pairs: dict[int, int] = {}
-        self._find = None
+        self._find = self._cache = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_find": None, "pairs": {}}
+        return self.__dict__ | {"_find": None, "_cache": None, "pairs": {}}
+
+    @property
+    def cache(self) -> dict[str, bytes]:
+        """The ids of pre-tokens met so far by this process: a worker keeps them from task to task."""
+        if self._cache is None:
+            self._cache = _Cache(self)
+        return self._cache
 
     def rank(self, key: bytes) -> int:
         """The id of a whole string of the vocabulary, or -1."""
@@ -106,26 +113,35 @@ class Encoder:
         whole = self.rank(piece)
         if whole >= 0:
             return [whole]
-        n = len(piece)
+        n, found, merged = len(piece), self.pairs.get, self._merged
         ids = [self.byte_ids[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merged = self._merged
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := merged(ids[i], ids[i + 1])) >= 0]
+        heap = []  # the rank of a merge and its place, as one number
+        for i in range(n - 1):
+            r = found(ids[i] << 32 | ids[i + 1])
+            if r is None:
+                r = merged(ids[i], ids[i + 1])
+            if r >= 0:
+                heap.append(r << 32 | i)
         heapq.heapify(heap)
         while heap:
-            r, i, a, b = heapq.heappop(heap)
+            r = heapq.heappop(heap)
+            i, r = r & 0xFFFFFFFF, r >> 32
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
+            if ids[i] < 0 or j >= n or merged(ids[i], ids[j]) != r:
+                continue  # one of the two has been merged with another
             ids[i], ids[j] = r, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (x := merged(r, ids[k])) >= 0:
-                    heapq.heappush(heap, (x, i, r, ids[k]))
+                x = merged(r, ids[k])
+                if x >= 0:
+                    heapq.heappush(heap, x << 32 | i)
             h = before[i]
-            if h >= 0 and (x := merged(ids[h], r)) >= 0:
-                heapq.heappush(heap, (x, h, ids[h], r))
+            if h >= 0:
+                x = merged(ids[h], r)
+                if x >= 0:
+                    heapq.heappush(heap, x << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str, cache: dict[str, bytes]) -> np.ndarray:
@@ -190,7 +206,7 @@ def encode_documents(docs: DataFrame, encoder: Encoder) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = shared.value
-        cache = _Cache(e)
+        cache = e.cache
         for batch in batches:
             low = 0
             while low < len(batch):
