@@ -79,11 +79,19 @@ class Encoder:
         self.words = words
         self.blob = np.frombuffer(b"".join(words), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        self.pairs: dict[int, int] = {}
-        self._find = self._cache = None
+        self._find = self._cache = self._pairs = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_find": None, "_cache": None, "pairs": {}}
+        return self.__dict__ | {"_find": None, "_cache": None, "_pairs": None}
+
+    @property
+    def pairs(self) -> dict[int, int]:
+        """Every merge: two ids, as one number, and the id of their bytes together. Fixed by the vocabulary."""
+        if self._pairs is None:
+            ids = dict(zip(self.key_at, self.id_at, strict=True))
+            splits = ((ids.get(k[:c]), ids.get(k[c:]), i) for k, i in ids.items() for c in range(1, len(k)))
+            self._pairs = {a << 32 | b: i for a, b, i in splits if a is not None and b is not None}
+        return self._pairs
 
     @property
     def cache(self) -> dict[str, bytes]:
@@ -97,15 +105,6 @@ class Encoder:
         s = self.hash.slot(key)
         return self.id_at[s] if self.key_at[s] == key else -1
 
-    def _merged(self, a: int, b: int) -> int:
-        at = a << 32 | b
-        r = self.pairs.get(at)
-        if r is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            r = self.pairs[at] = self.rank(self.words[a] + self.words[b])
-        return r
-
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: its own if it is in the vocabulary, else those left by the
         merges in the order of rank, then place. Bytes are linked; the heap holds possible merges.
@@ -113,14 +112,12 @@ class Encoder:
         whole = self.rank(piece)
         if whole >= 0:
             return [whole]
-        n, found, merged = len(piece), self.pairs.get, self._merged
+        n, merged = len(piece), self.pairs.get
         ids = [self.byte_ids[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []  # the rank of a merge and its place, as one number
         for i in range(n - 1):
-            r = found(ids[i] << 32 | ids[i + 1])
-            if r is None:
-                r = merged(ids[i], ids[i + 1])
+            r = merged(ids[i] << 32 | ids[i + 1], -1)
             if r >= 0:
                 heap.append(r << 32 | i)
         heapq.heapify(heap)
@@ -128,18 +125,18 @@ class Encoder:
             r = heapq.heappop(heap)
             i, r = r & 0xFFFFFFFF, r >> 32
             j = after[i]
-            if ids[i] < 0 or j >= n or merged(ids[i], ids[j]) != r:
+            if ids[i] < 0 or j >= n or merged(ids[i] << 32 | ids[j], -1) != r:
                 continue  # one of the two has been merged with another
             ids[i], ids[j] = r, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                x = merged(r, ids[k])
+                x = merged(r << 32 | ids[k], -1)
                 if x >= 0:
                     heapq.heappush(heap, x << 32 | i)
             h = before[i]
             if h >= 0:
-                x = merged(ids[h], r)
+                x = merged(ids[h] << 32 | r, -1)
                 if x >= 0:
                     heapq.heappush(heap, x << 32 | h)
         return [x for x in ids if x >= 0]
