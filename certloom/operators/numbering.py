@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +24,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(spark: SparkSession, *work: Callable) -> list:
+    """The results of calls that run jobs of their own, side by side: small jobs wait for their plans more than for cores."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
+
+
+def pieces(df: DataFrame, rows: int, least: int) -> int:
+    """In how many partitions so many rows keep all cores busy: of `least` rows at least, few rows are not torn."""
+    spark = df.sparkSession
+    most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(most, math.ceil(rows / least)))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1, partitions: int | None = None) -> DataFrame:
     """df in order with a column of consecutive numbers.
 

@@ -13,7 +13,7 @@ from certloom.functions.certificates import built, table_rows
 from certloom.functions.codes import NO_CERTIFICATE
 from certloom.functions.entries import decoded
 from certloom.functions.merkle import CHUNK_LEVELS, CompactRange, subtree_roots, verify_consistency
-from certloom.operators.numbering import durable, numbered
+from certloom.operators.numbering import durable, numbered, pieces, together
 from certloom.operators.stats import SEEDS, batch_facts, bytes_per_entry, peak_bytes, require_room
 from certloom.sources.dataset import Dataset
 from certloom.sources.footers import canary
@@ -128,8 +128,11 @@ def ingest_batch(
 
     old = snap.tips().get(log)
     tree = CompactRange(old["tree"]["size"], [bytes.fromhex(x) for x in old["tree"]["compact_range"]]) if old else CompactRange()
-    tree = extend_tree(tree, rows, first, last)
-    check_tree(tree, head, proof)
+
+    def checked_tree() -> CompactRange:
+        out = extend_tree(tree, rows, first, last)
+        check_tree(out, head, proof)
+        return out
 
     m: dict = {"commit_seq": snap.as_of + 1, "log": log, "first": first, "last": last, "committed_at": time.time()}
     kinds = F.when(F.col("entry_type") == "precert", "precert").otherwise("final")
@@ -141,7 +144,7 @@ def ingest_batch(
     )
     keyed = seen.withColumn("sha256", _sha(F.col("der")))
     # each certificate once, where it is first seen; those of earlier batches drop out
-    firsts = durable(first_seen(keyed, "sha256", "idx", "slot"))
+    tree, firsts = together(dataset.spark, checked_tree, lambda: durable(first_seen(keyed, "sha256", "idx", "slot")))
     known = durable(_among(dataset.table("vault", snap).select("sha256", F.col("cert_id").alias("known_id")), firsts, "sha256"))
     new = firsts.join(known, "sha256", "left_anti").select("sha256", "at", F.col("at.idx").alias("idx"), F.col("at.slot").alias("slot"))
     new = numbered(new, [F.col("idx"), F.col("slot")], "cert_id", snap.next_cert_id())
@@ -183,21 +186,27 @@ def ingest_batch(
         with_base.withColumn("delta_base_cert_id", F.when((F.col("kind") == "final") & (F.col("p.idx") < F.col("idx")), F.col("p.cert_id"))).drop("p", "issuance_key", "digest")
     )
 
-    files = {
-        "entries": dataset.write(entries.drop("prints"), "entries", m, sort=["idx"]),
-        "chains": dataset.write(chains, "chains", m, sort=["chain_id", "position"]),
-        "vault": dataset.write(certs, "vault", m, sort=["cert_id"], bloom=("sha256",)),
-        "quarantine": dataset.write(rows.where(F.col("leaf_error").isNotNull()), "quarantine", m),
-    }
-    m["derived"] = {}
-    parsed = durable(built(certs))
+    ends = certs.agg(F.min("cert_id"), F.max("cert_id"), F.count("*"), F.coalesce(F.sum(F.octet_length("der")), F.lit(0)), F.count("delta_base_cert_id")).first()
+    # parsing is far more work than a certificate's bytes tell; the files of its tables are few again
+    wide, few = pieces(certs, ends[2], 500), pieces(certs, ends[2], 20_000)
     versions = dataset.versions()
-    for t in TABLES:
-        m["derived"][t] = [versions[t]["active"]]
-        files[t] = dataset.write(table_rows(parsed, t), t, m, versions[t]["active"], bloom=BLOOM.get(t, ())) | {"version": versions[t]["active"]}
+    m["derived"] = {t: [versions[t]["active"]] for t in TABLES}
+    quarantined = rows.where(F.col("leaf_error").isNotNull())
+    *written, parsed = together(
+        dataset.spark,
+        lambda: dataset.write(entries.drop("prints"), "entries", m, sort=["idx"]),
+        lambda: dataset.write(chains, "chains", m, sort=["chain_id", "position"]),
+        lambda: dataset.write(certs, "vault", m, sort=["cert_id"], bloom=("sha256",)),
+        lambda: dataset.write(quarantined, "quarantine", m),
+        lambda: durable(built(certs.repartition(wide, "cert_id"))),
+    )
+    files = dict(zip(("entries", "chains", "vault", "quarantine"), written, strict=True))
 
-    ends = certs.agg(F.min("cert_id"), F.max("cert_id"), F.count("*"), F.coalesce(F.sum(F.octet_length("der")), F.lit(0)), F.count("delta_base_cert_id")).first()
-    status = table_rows(parsed, "certs").groupBy("parse_status").count().collect()
+    def derive(t: str) -> dict:
+        return dataset.write(table_rows(parsed, t).coalesce(few), t, m, versions[t]["active"], bloom=BLOOM.get(t, ())) | {"version": versions[t]["active"]}
+
+    *derived, status = together(dataset.spark, *[lambda t=t: derive(t) for t in TABLES], lambda: table_rows(parsed, "certs").groupBy("parse_status").count().collect())
+    files |= dict(zip(TABLES, derived, strict=True))
     if files["entries"]["rows"] != stats["n"] or files["vault"]["rows"] != ends[2] or files["certs"]["rows"] != ends[2]:
         raise VerificationError(f"rows read back differ: {files}")
     m |= {
@@ -210,7 +219,6 @@ def ingest_batch(
         "head": {"size": head.size, "root": head.root.hex(), "timestamp": head.timestamp} if head else None,
         "fetch": fetch or {},
     }
-    for t in ("certs", "names", "vault", "entries"):
-        canary(dataset, m, t, files[t].get("version"), ("sha256",) if t == "vault" else BLOOM.get(t, ()))
+    together(dataset.spark, *[lambda t=t: canary(dataset, m, t, files[t].get("version"), ("sha256",) if t == "vault" else BLOOM.get(t, ())) for t in ("certs", "names", "vault", "entries")])
     dataset.commit(m)
     return m

@@ -21,6 +21,9 @@ from certloom.sources.store import Store
 GRACE_SECONDS = 24 * 3600
 #: Rows of one file at most, some 500 MB of certificates.
 FILE_ROWS = 500_000
+#: Columns written without a dictionary in every table: Parquet's writers in one JVM share the settings of
+#: the one opened last, so those of parts that are written side by side must agree.
+PLAIN = ("sha256", "name", "etld1")
 
 
 def batch_name(first: int, last: int) -> str:
@@ -130,8 +133,8 @@ class Dataset:
             versions = m.get("derived", {}).get(name, [])
             version = None if name in SOURCE else (snap.active[name] if snap.active[name] in versions or not versions else max(versions))
             groups.setdefault(name if name in SOURCE else f"{name}.p{version}", []).append(self.store.path(self.folder(name, m, version)))
-        if not groups:
-            return self.spark.createDataFrame([], ddl)
+        if not groups:  # a relation of the JVM's own; rows from Python would start its workers for nothing
+            return self.spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in columns(ddl)])
         out = None
         for base, paths in groups.items():
             part = self.spark.read.schema(ddl).option("basePath", self.store.path(base)).parquet(*paths)
@@ -178,9 +181,11 @@ class Dataset:
         if sort:
             typed = typed.repartitionByRange(*sort).sortWithinPartitions(*sort)
         writer = typed.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
-        for c in bloom:
+        for c in {*PLAIN, *bloom}:
             # a column that is all dictionary pages would get no filter
-            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")
+            writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
+        for c in bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(path)
         found = self.spark.read.schema(ddl_of(table, version)).parquet(path).agg(F.count("*").alias("n"), content_sum(names).alias("c")).first()
         return {"rows": found["n"], "bytes": self.store.size(folder), "content": found["c"]}
