@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm.common import checked_broadcast, durable, packed, skew_join, table, text_hash
+from certloom.llm.common import checked_broadcast, durable, packed, table, text_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A path has at most LEVELS sampled tokens; runs are repeated until a pair at the threshold shares
@@ -23,6 +23,8 @@ LEVELS, RECALL = 3, 0.9999
 SMALL, TILE, TILE_SHINGLES = 256, 1024, 600_000
 #: Representatives whose keys are broadcast at most; beyond it their texts are found by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Buckets with two sets or more that are broadcast at most; beyond it only those with over 1 / MOST_HOT of all places are.
+BROADCAST_BUCKETS, MOST_HOT = 200_000, 2000
 WORD = re.compile(r"[^\W_]+")
 _MASK = (1 << 64) - 1
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -192,6 +194,23 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _in_buckets(rows: DataFrame, buckets: DataFrame, weight: str, total: int) -> DataFrame:
+    """rows joined with buckets (checkpointed, one row for each run and key), of which each row is in one at most.
+
+    weight: buckets' column with the number of their rows; total: that of all rows. Few buckets are broadcast, so
+    that no row moves. Of many, those that would fill a task are, told from the others by a hash that sorts rows
+    and buckets alike, so a collision only puts a bucket with the larger ones.
+    """
+    on, mark = ["run", "key"], F.xxhash64("run", "key")
+    if buckets.count() <= BROADCAST_BUCKETS:
+        return rows.join(F.broadcast(buckets), on)
+    hot = [r[0] for r in buckets.where(F.col(weight) > max(1, total // MOST_HOT)).select(mark).collect()]  # MOST_HOT at most
+    if not hot:
+        return rows.join(buckets, on)
+    large = mark.isin(hot)
+    return rows.where(large).join(F.broadcast(buckets.where(large)), on).unionByName(rows.where(~large).join(buckets.where(~large), on))
+
+
 def _buckets(keyed: DataFrame, runs: int) -> DataFrame:
     """(run, key, rep, n, shingles, m1, m2) of the buckets with two sets or more, each as deep as its size asks.
 
@@ -205,7 +224,7 @@ def _buckets(keyed: DataFrame, runs: int) -> DataFrame:
         # one row a bucket from partial sums; buckets with equal members have equal sums
         sums = [F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(20,0)")).alias(f"m{i}") for i in (1, 2)]
         sizes = left.groupBy("run", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), *sums).where(F.col("n") > 1)
-        joined = durable(skew_join(left, sizes, ["run", "key"], "n", total))
+        joined = durable(_in_buckets(left, durable(sizes), "n", total))
         last = level == LEVELS - 1
         part = (joined if last else joined.where(F.col("n") <= SMALL)).select("run", "key", "rep", "n", "shingles", "m1", "m2")
         done = part if done is None else done.unionByName(part)
@@ -286,7 +305,7 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
     keyed = reps.join(signs.groupBy("at").agg(F.first("keys").alias("keys")), F.col("first") == F.col("at")).select("rep", "n_shingles", "keys")
     placed = durable(_buckets(keyed, runs))
     firsts = placed.groupBy("n", "m1", "m2").agg(F.min(F.struct("run", "key")).alias("f")).select("f.run", "f.key", F.col("n").alias("members"))
-    buckets = skew_join(placed, firsts, ["run", "key"], "members", placed.count()).select("run", "key", "rep", "n", "shingles")
+    buckets = _in_buckets(placed, durable(firsts), "members", placed.count()).select("run", "key", "rep", "n", "shingles")
     by_run = F.map_from_entries(F.collect_set(F.struct("run", "key")))
     places = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0).cast("long")))
     busy = placed.groupBy("rep").agg(by_run.alias("m")).select("rep", places.alias("places"))
