@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from certloom.errors import UsageError, VerificationError
@@ -14,7 +16,7 @@ from certloom.operators.search import search, search_page
 from certloom.operators.verify import verify
 from certloom.plans import rebuild as rebuilding
 from certloom.plans.heads import Heads
-from certloom.plans.ingest import Head, ingest_batch
+from certloom.plans.ingest import Head, ingest_batch, ingest_batches
 from certloom.sources import sample
 from certloom.sources.ctlog import LogSource, open_log
 from certloom.sources.dataset import Dataset
@@ -87,6 +89,9 @@ class Engine:
     def ingest_batch(self, raw: DataFrame, log: str, head: Head | None = None, proof: list[bytes] | None = None, tiled: bool = False) -> dict:
         return ingest_batch(self.dataset, raw, log, head, proof, tiled)
 
+    def ingest_batches(self, batches: Iterable[tuple[DataFrame, str]]) -> list[dict]:
+        return ingest_batches(self.dataset, batches)
+
     def start_stream(self, stream: DataFrame, log: str, checkpoint: str, **how):
         return follow(self.dataset, stream, log, checkpoint, **how)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,19 +54,17 @@ def built(certs: DataFrame) -> DataFrame:
     spark = certs.sparkSession
     psl = spark.sparkContext.broadcast(session_suffixes(spark))
     schema = ", ".join(f"{t} array<struct<{', '.join(f'{n}: {k}' for n, k in columns(ddl_of(t)))}>>" for t in TABLES)
-    names = {t: [n for n, _ in columns(ddl_of(t))] for t in TABLES}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = None
+        kinds = {t: _arrow(t) for t in TABLES}
         for batch in batches:
             for low in range(0, len(batch), 2000):
                 out: dict[str, list] = {t: [] for t in TABLES}
                 for r in batch.slice(low, 2000).to_pylist():
                     rows = all_rows(x509.parse(r["der"]), r["cert_id"], r["sha256"], r["kind"], r["delta_base_cert_id"], psl.value)
                     for t in TABLES:
-                        out[t].append([dict(zip(names[t], row, strict=True)) for row in rows[t]])
-                target = target or pa.schema([(t, _arrow(t)) for t in TABLES])
-                yield pa.RecordBatch.from_pydict(out, schema=target)
+                        out[t].append(rows[t])
+                yield pa.RecordBatch.from_arrays([_lists(out[t], kinds[t]) for t in TABLES], names=list(TABLES))
 
     return certs.select("cert_id", "sha256", "kind", "delta_base_cert_id", "der").mapInArrow(work, schema)
 
@@ -80,6 +79,15 @@ def _arrow(table: str) -> pa.DataType:
     return pa.list_(pa.struct([(n, _ARROW[k]) for n, k in columns(ddl_of(table))]))
 
 
+def _lists(rows: list[list[tuple]], kind: pa.DataType) -> pa.Array:
+    """Lists of rows as an array of lists of structs, made column by column."""
+    fields = list(kind.value_type)
+    flat = [r for some in rows for r in some]
+    values = list(zip(*flat, strict=True)) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(accumulate(map(len, rows), initial=0), pa.int32()), structs)
+
+
 def table_rows(rows: DataFrame, table: str) -> DataFrame:
     """The rows of one table of built()."""
     return rows.select(F.explode(table).alias("r")).select("r.*")

@@ -46,11 +46,11 @@ class PublicSuffixes:
                 return tail
         return labels[-1]
 
-    def registrable(self, name: str) -> str | None:
-        """The suffix with one label more; None if the name has none, or an empty label."""
+    def registrable(self, name: str, suffix: str | None = None) -> str | None:
+        """The suffix with one label more; None if the name has none, or an empty label. suffix: the name's, where it is known."""
         if "" in name.split("."):
             return None
-        suffix = self.suffix(name)
+        suffix = self.suffix(name) if suffix is None else suffix
         if len(name) <= len(suffix):
             return None
         return name[: -len(suffix) - 1].rsplit(".", 1)[-1] + "." + suffix
@@ -97,6 +97,8 @@ def normalise(name: str) -> tuple[str, bool, bool, str]:
 
 def canonical_ip(text: str) -> str | None:
     """An IP literal in canonical form (an IPv4-mapped IPv6 address as ::ffff:a.b.c.d), or None."""
+    if ":" not in text and not text.replace(".", "").isdigit():
+        return None
     try:
         a = ipaddress.ip_address(text)
     except ValueError:
@@ -106,11 +108,16 @@ def canonical_ip(text: str) -> str | None:
 
 def name_rows(dns: list[str], ips: list[bytes], cns: list[str], psl: PublicSuffixes) -> Iterator[tuple]:
     """(source, name, dns_valid, is_wildcard, tld, etld1): DNS names, addresses, then new common names."""
-    seen = set()
+    seen, found = set(), {}
 
     def dns_row(source: str, text: str) -> tuple:
         name, valid, wild, base = normalise(text)
-        return (source, name, True, wild, psl.suffix(base), psl.registrable(base)) if valid else (source, name, False, False, None, None)
+        if not valid:
+            return source, name, False, False, None, None
+        if base not in found:  # a host and its wildcard have one base
+            tld = psl.suffix(base)
+            found[base] = tld, psl.registrable(base, tld)
+        return source, name, True, wild, *found[base]
 
     for row in [*(dns_row("san_dns", x) for x in dns), *(("san_ip", _ip_name(x), False, False, None, None) for x in ips)]:
         seen.add(row[1])
@@ -128,6 +135,8 @@ def name_rows(dns: list[str], ips: list[bytes], cns: list[str], psl: PublicSuffi
 
 
 def _ip_name(raw: bytes) -> str:
+    if len(raw) == 4:
+        return ".".join(map(str, raw))
     return canonical_ip(str(ipaddress.ip_address(raw))) if len(raw) in (4, 16) else raw.hex()
 
 

@@ -50,8 +50,8 @@ def engine(t: Tables) -> Engine:
         e = Engine(t.spark, f"{t.spark.sparkContext.getCheckpointDir()}/orders-log-{len(_ENGINES)}", create=True)
         rows = _rows(t)
         n_a = rows.where(F.col("log") == "a").count()
-        for log, part in (("a", F.col("idx") < n_a // 2), ("a", F.col("idx") >= n_a // 2), ("b", F.lit(True))):
-            e.ingest_batch(raw_entries(rows.where((F.col("log") == log) & part), MALFORMED), log)
+        batches = ("a", F.col("idx") < n_a // 2), ("a", F.col("idx") >= n_a // 2), ("b", F.lit(True))
+        e.ingest_batches((raw_entries(rows.where((F.col("log") == log) & part), MALFORMED), log) for log, part in batches)
         _ENGINES[key] = e
     return _ENGINES[key]
 

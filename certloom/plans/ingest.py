@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +93,27 @@ def _among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, column, "left_semi")
 
 
+def read_entries(raw: DataFrame, log: str, tiled: bool = False) -> DataFrame:
+    """Raw entries (idx, leaf_input, extra_data) of a log decoded, once for all that an ingest does with them."""
+    return durable(decoded(raw.withColumn("log", F.lit(log)), tiled))
+
+
+def ingest_batches(dataset: Dataset, batches: Iterable[tuple[DataFrame, str]]) -> list[dict]:
+    """Commits batches (raw entries, log) in order and returns their manifests.
+
+    Decoding needs no batch before it, so the entries of the next one are decoded while one is committed.
+    """
+    todo, out = list(batches), []
+    read = inheritable_thread_target(dataset.spark)(read_entries)
+    with ThreadPoolExecutor(1) as ahead:
+        nexts = [ahead.submit(read, *todo[0])] if todo else []
+        for at, (raw, log) in enumerate(todo):
+            rows = nexts[at].result()
+            nexts += [ahead.submit(read, *b) for b in todo[at + 1 : at + 2]]
+            out.append(ingest_batch(dataset, raw, log, rows=rows))
+    return out
+
+
 def ingest_batch(
     dataset: Dataset,
     raw: DataFrame,
@@ -98,19 +122,35 @@ def ingest_batch(
     proof: list[bytes] | None = None,
     tiled: bool = False,
     fetch: dict | None = None,
+    rows: DataFrame | None = None,
 ) -> dict:
     """Commits raw entries (idx, leaf_input, extra_data) of one log and returns the manifest.
 
     The entries must follow the log's last batch without gaps. A batch committed before is
     returned as it is, so a repeated micro-batch changes nothing. Before anything is written the
-    volume must have room for it, and before the commit the written files are probed.
+    volume must have room for it, and before the commit the written files are probed. rows: what
+    read_entries() makes of raw, where it is there already.
 
     Earlier batches are scanned twice, for the hashes of certificates and for issuance keys, against
     the batch's own ones, which are broadcast: nothing of the earlier batches is shuffled.
     """
     snap = dataset.snapshot(allow_mixed=True)
-    rows = durable(decoded(raw.withColumn("log", F.lit(log)), tiled))
-    stats = rows.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.count_distinct("idx").alias("d")).first()
+    rows = read_entries(raw, log, tiled) if rows is None else rows
+    kinds = F.when(F.col("entry_type") == "precert", "precert").otherwise("final")
+    leafs = rows.where(F.col("cert").isNotNull() & ~F.coalesce(F.col("leaf_error").isin(*NO_CERTIFICATE), F.lit(False)))
+    seen = leafs.select("idx", F.lit(0).alias("slot"), kinds.alias("kind"), F.col("cert").alias("der"), "digest").unionByName(
+        rows.where(F.col("chain").isNotNull()).select(
+            "idx", F.posexplode("chain").alias("slot", "der"), F.lit("chain").alias("kind"), F.lit(None).cast("binary").alias("digest")
+        ).withColumn("slot", F.col("slot") + 1)
+    )
+    keyed = seen.withColumn("sha256", _sha(F.col("der")))
+    # each certificate once, where it is first seen
+    stats, firsts, sizes = together(
+        dataset.spark,
+        lambda: rows.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.count_distinct("idx").alias("d")).first(),
+        lambda: durable(first_seen(keyed, "sha256", "idx", "slot")),
+        lambda: bytes_per_entry(batch_facts(dataset, snap.as_of)).first() if snap.batches else None,
+    )
     if not stats["n"]:
         raise UsageError("no entries to ingest")
     first, last = stats["first"], stats["last"]
@@ -122,7 +162,6 @@ def ingest_batch(
 
     total, used = dataset.store.room()
     if total:
-        sizes = bytes_per_entry(batch_facts(dataset, snap.as_of)).first() if snap.batches else None
         need = peak_bytes(stats["n"], sizes["vault"] if sizes else SEEDS["vault"], sizes["parquet"] if sizes else SEEDS["parquet"])
         require_room(total, used, need, float(dataset.spark.conf.get(CAP_CONF, str(DISK_CAP))))
 
@@ -135,17 +174,10 @@ def ingest_batch(
         return out
 
     m: dict = {"commit_seq": snap.as_of + 1, "log": log, "first": first, "last": last, "committed_at": time.time()}
-    kinds = F.when(F.col("entry_type") == "precert", "precert").otherwise("final")
-    leafs = rows.where(F.col("cert").isNotNull() & ~F.coalesce(F.col("leaf_error").isin(*NO_CERTIFICATE), F.lit(False)))
-    seen = leafs.select("idx", F.lit(0).alias("slot"), kinds.alias("kind"), F.col("cert").alias("der"), "digest").unionByName(
-        rows.where(F.col("chain").isNotNull()).select(
-            "idx", F.posexplode("chain").alias("slot", "der"), F.lit("chain").alias("kind"), F.lit(None).cast("binary").alias("digest")
-        ).withColumn("slot", F.col("slot") + 1)
-    )
-    keyed = seen.withColumn("sha256", _sha(F.col("der")))
-    # each certificate once, where it is first seen; those of earlier batches drop out
-    tree, firsts = together(dataset.spark, checked_tree, lambda: durable(first_seen(keyed, "sha256", "idx", "slot")))
-    known = durable(_among(dataset.table("vault", snap).select("sha256", F.col("cert_id").alias("known_id")), firsts, "sha256"))
+    # certificates of earlier batches drop out
+    tree, known = together(
+        dataset.spark, checked_tree, lambda: durable(_among(dataset.table("vault", snap).select("sha256", F.col("cert_id").alias("known_id")), firsts, "sha256"))
+    )
     new = firsts.join(known, "sha256", "left_anti").select("sha256", "at", F.col("at.idx").alias("idx"), F.col("at.slot").alias("slot"))
     new = numbered(new, [F.col("idx"), F.col("slot")], "cert_id", snap.next_cert_id())
     certs = durable(new.drop("at").join(keyed.drop("sha256"), ["idx", "slot"]))
@@ -192,21 +224,24 @@ def ingest_batch(
     versions = dataset.versions()
     m["derived"] = {t: [versions[t]["active"]] for t in TABLES}
     quarantined = rows.where(F.col("leaf_error").isNotNull())
-    *written, parsed = together(
+
+    def derive() -> list:
+        parsed = durable(built(certs.repartition(wide, "cert_id")))
+
+        def one(t: str) -> dict:
+            return dataset.write(table_rows(parsed, t).coalesce(few), t, m, versions[t]["active"], bloom=BLOOM.get(t, ())) | {"version": versions[t]["active"]}
+
+        return together(dataset.spark, *[lambda t=t: one(t) for t in TABLES], lambda: table_rows(parsed, "certs").groupBy("parse_status").count().collect())
+
+    (*derived, status), *written = together(
         dataset.spark,
+        derive,
         lambda: dataset.write(entries.drop("prints"), "entries", m, sort=["idx"]),
         lambda: dataset.write(chains, "chains", m, sort=["chain_id", "position"]),
         lambda: dataset.write(certs, "vault", m, sort=["cert_id"], bloom=("sha256",)),
         lambda: dataset.write(quarantined, "quarantine", m),
-        lambda: durable(built(certs.repartition(wide, "cert_id"))),
     )
-    files = dict(zip(("entries", "chains", "vault", "quarantine"), written, strict=True))
-
-    def derive(t: str) -> dict:
-        return dataset.write(table_rows(parsed, t).coalesce(few), t, m, versions[t]["active"], bloom=BLOOM.get(t, ())) | {"version": versions[t]["active"]}
-
-    *derived, status = together(dataset.spark, *[lambda t=t: derive(t) for t in TABLES], lambda: table_rows(parsed, "certs").groupBy("parse_status").count().collect())
-    files |= dict(zip(TABLES, derived, strict=True))
+    files = dict(zip(("entries", "chains", "vault", "quarantine"), written, strict=True)) | dict(zip(TABLES, derived, strict=True))
     if files["entries"]["rows"] != stats["n"] or files["vault"]["rows"] != ends[2] or files["certs"]["rows"] != ends[2]:
         raise VerificationError(f"rows read back differ: {files}")
     m |= {

@@ -1,12 +1,17 @@
 """An ingest keeps all cores busy, however few files and bytes its rows come from, and gives the same dataset."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from certloom.engine import Engine
-from certloom.functions import leaf
+from certloom.functions import certificates, der, extensions, leaf, x509
+from certloom.functions.names import load_suffixes
 from certloom.operators.numbering import pieces, together
+from certloom.plans import ingest
 from certloom.sources import footers, synthetic
+from certloom.sources.dataset import Dataset
 
 N = 400
 
@@ -70,3 +75,48 @@ def test_pieces_of_a_certificate_are_read_once():
     leaf.parts.cache_clear()
     first, again = leaf.decode(a, b), leaf.decode(a, b)
     assert first == again and leaf.parts.cache_info().hits >= 1
+
+
+def test_what_recurs_in_certificates_is_read_once():
+    of = lambda number: synthetic.certificate(number, "UNIT", 1)[2]
+    readers = x509.read_name, x509._extension_fields, extensions._RECURRING[extensions.CRL_DPS][0]
+    x509_rows = [certificates.all_rows(x509.parse(of(1)), 1, b"", "final", None, load_suffixes())]
+    before = [r.cache_info().hits for r in readers]
+    x509_rows.append(certificates.all_rows(x509.parse(of(2)), 1, b"", "final", None, load_suffixes()))
+    assert all(r.cache_info().hits > b for r, b in zip(readers, before, strict=True))
+    assert x509_rows[0]["cert_crl_dps"] == x509_rows[1]["cert_crl_dps"] and x509_rows[0]["names"] != x509_rows[1]["names"]
+    long = b"x" * 2000
+    kept = der.recurring(len)
+    assert kept(long) == kept(long) == 2000 and kept.cache_info().currsize == 0
+
+
+def test_rows_of_a_batch_become_columns():
+    kind = certificates._arrow("cert_ekus")
+    assert certificates._lists([[], [(1, 0, "a", None), (1, 1, "b", "c")], []], kind).to_pylist()[1][1] == {"cert_id": 1, "position": 1, "eku_oid": "b", "eku_name": "c"}
+    for rows in ([], [[]], [[], []]):
+        made = certificates._lists(rows, kind)
+        assert made.type == kind and made.to_pylist() == rows
+    with pytest.raises(ValueError):
+        certificates._lists([[(1, 0, "a", None), (1, 1, "b")]], kind)
+
+
+def test_the_next_batch_is_decoded_while_one_is_committed(spark, raw, tmp_path, monkeypatch):
+    read = threading.Event()
+
+    def read_entries(part, log, tiled=False, f=ingest.read_entries):
+        out = f(part, log, tiled)
+        if log == "b":
+            read.set()
+        return out
+
+    def commit(self, m, f=Dataset.commit):
+        assert read.wait(60)  # batch 2 is decoded before batch 1 is there
+        f(self, m)
+
+    monkeypatch.setattr(ingest, "read_entries", read_entries)
+    monkeypatch.setattr(Dataset, "commit", commit)
+    e = Engine(spark, str(tmp_path / "ds"), create=True)
+    done = e.ingest_batches([(raw, "a"), (raw, "b")])
+    assert [(m["commit_seq"], m["log"], m["entries"]) for m in done] == [(1, "a", N), (2, "b", N)]
+    assert done[0]["tree"] == done[1]["tree"] and done[0]["counts"]["new_certs"] > 0 == done[1]["counts"]["new_certs"]
+    assert e.ingest_batches([]) == []
