@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from certloom.functions import leaf
+from certloom.functions.codes import NO_CERTIFICATE
 
 DECODED = (
     "log string, idx bigint, leaf_hash binary, entry_type string, ts_ms decimal(20,0), cert binary, chain array<binary>, "
@@ -20,30 +23,73 @@ _SCHEMA = pa.schema(
         ("leaf_error", pa.string()), ("leaf_input", pa.binary()), ("extra_data", pa.binary()),
     ]
 )
+#: Decoded entries with hashes; bytes that recur in the rows worked on together are only on the first of them, by idx.
+HASHED = DECODED + ", sha256 binary, chain_id binary, prints array<binary>"
+_HASHED = pa.schema([*_SCHEMA, ("sha256", pa.binary()), ("chain_id", pa.binary()), ("prints", pa.list_(pa.binary()))])
 
 
 def decoded(raw: DataFrame, tiled: bool = False) -> DataFrame:
     """Raw entries (log, idx, leaf_input, extra_data) decoded; tiled: their index extension is checked too."""
+    return _map(raw, tiled, False)
 
+
+def hashed(raw: DataFrame, tiled: bool = False) -> DataFrame:
+    """decoded() with sha256 (null without a certificate), chain_id and prints, for what needs each certificate and chain once.
+
+    Of the rows with one sha256 that are worked on together, that of the least idx has cert; likewise chain and prints by
+    chain_id. So the first row of a certificate or chain in any set of whole inputs has its bytes.
+    """
+    return _map(raw, tiled, True)
+
+
+def _map(raw: DataFrame, tiled: bool, hashes: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 2000):
+                part = batch.slice(low, 2000)
                 rows = []
-                for r in batch.slice(low, 2000).to_pylist():
-                    e = leaf.decode(r["leaf_input"], r["extra_data"] or b"")
+                for log, idx, leaf_input, extra in zip(*[part.column(c).to_pylist() for c in ("log", "idx", "leaf_input", "extra_data")], strict=True):
+                    e = leaf.decode(leaf_input, extra or b"")
                     if tiled:
-                        leaf.check_leaf_index(e, r["idx"])
+                        leaf.check_leaf_index(e, idx)
                     kept = e.leaf_hash, e.entry_type, e.timestamp, e.cert, e.chain, e.issuer_key_hash, e.digest, e.code
-                    rows.append((r["log"], r["idx"], *kept, *((r["leaf_input"], r["extra_data"]) if e.code else (None, None))))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+                    rows.append((log, idx, *kept, *((leaf_input, extra) if e.code else (None, None))))
+                columns, schema = list(zip(*rows, strict=True)), _SCHEMA
+                if hashes:
+                    columns, schema = with_hashes(columns), _HASHED
+                yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return raw.select("log", "idx", "leaf_input", "extra_data").mapInArrow(work, DECODED)
+    return raw.select("log", "idx", "leaf_input", "extra_data").mapInArrow(work, HASHED if hashes else DECODED)
 
 
-def _array(values: tuple, kind: pa.DataType) -> pa.Array:
-    if pa.types.is_decimal(kind):
-        from decimal import Decimal
+@lru_cache(1024)
+def _prints(chain: tuple[bytes, ...]) -> tuple[bytes, list[bytes]]:
+    prints = [hashlib.sha256(c).digest() for c in chain]
+    return leaf.chain_id(prints), prints
+
 
-        values = [Decimal(v) for v in values]
-    return pa.array(values, kind)
+def with_hashes(columns: list[tuple]) -> list[tuple]:
+    """Columns of DECODED as those of HASHED."""
+    at = {f.name: i for i, f in enumerate(_SCHEMA)}
+    idx, certs, chains, codes = (columns[at[c]] for c in ("idx", "cert", "chain", "leaf_error"))
+    shas = [None if c is None or code in NO_CERTIFICATE else hashlib.sha256(c).digest() for c, code in zip(certs, codes, strict=True)]
+    links = [(None, None) if c is None else _prints(tuple(c)) for c in chains]
+    ids = [i for i, _ in links]
+    certs_at, chains_at = _firsts(idx, shas), _firsts(idx, ids)
+    out = list(columns)
+    out[at["cert"]] = tuple(c if n in certs_at else None for n, c in enumerate(certs))
+    out[at["chain"]] = tuple(c if n in chains_at else None for n, c in enumerate(chains))
+    return [*out, tuple(shas), tuple(ids), tuple(p if n in chains_at else None for n, (_, p) in enumerate(links))]
+
+
+def _firsts(idx: tuple, keys: list) -> set[int]:
+    """The places of each key's least idx."""
+    first: dict = {}
+    for n, k in enumerate(keys):
+        if k is not None and (k not in first or idx[n] < idx[first[k]]):
+            first[k] = n
+    return set(first.values())
+
+
+def _array(values: tuple, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, pa.uint64()).cast(kind) if pa.types.is_decimal(kind) else pa.array(values, kind)

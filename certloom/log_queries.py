@@ -19,7 +19,7 @@ from certloom.engine import Engine
 from certloom.functions import merkle
 from certloom.operators import stats, verify
 from certloom.operators.fetch import Fetcher
-from certloom.operators.numbering import durable, numbered
+from certloom.operators.numbering import durable, numbered, scratch
 from certloom.operators.query import parse_bar
 from certloom.queries import Tables, query
 from certloom.sources import ctlog, sample
@@ -46,9 +46,8 @@ def engine(t: Tables) -> Engine:
     """The engine over the orders' log, ingested at first use."""
     key = t.spark.sparkContext.applicationId, t.dir
     if key not in _ENGINES:
-        durable(t.spark.range(1))
-        e = Engine(t.spark, f"{t.spark.sparkContext.getCheckpointDir()}/orders-log-{len(_ENGINES)}", create=True)
-        rows = _rows(t)
+        e = Engine(t.spark, f"{scratch(t.spark)}/orders-log-{len(_ENGINES)}", create=True)
+        rows = durable(_rows(t))
         n_a = rows.where(F.col("log") == "a").count()
         batches = ("a", F.col("idx") < n_a // 2), ("a", F.col("idx") >= n_a // 2), ("b", F.lit(True))
         e.ingest_batches((raw_entries(rows.where((F.col("log") == log) & part), MALFORMED), log) for log, part in batches)
@@ -358,8 +357,7 @@ def log_repair(t: Tables) -> DataFrame:
 
 @log_query("SELECT idx, bad FROM every WHERE log = 'a'")
 def log_captures(t: Tables) -> DataFrame:
-    e = engine(t)
-    path = f"{e.dataset.root}/capture-{len(e.dataset.store.names(''))}"
+    path = f"{scratch(t.spark)}/capture-{uuid.uuid4().hex}"
     ctlog.write_capture(raw_entries(_rows(t).where(F.col("log") == "a"), MALFORMED), path)
     return ctlog.read_capture(t.spark, path).select("idx", (F.substring(F.hex("leaf_input"), 1, 2) != "00").alias("bad"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,19 +12,42 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df; a local session without spark.checkpoint.dir gets a temporary folder."""
+def scratch(spark: SparkSession) -> str:
+    """The folder of checkpoints; a local session without spark.checkpoint.dir gets a temporary one."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df; a local session without spark.checkpoint.dir gets a temporary folder."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table under the folder of checkpoints, of which a reader takes only the columns it needs."""
+    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("stored-"):
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def together(spark: SparkSession, *work: Callable) -> list:
     """The results of calls that run jobs of their own, side by side: small jobs wait for their plans more than for cores."""
     with ThreadPoolExecutor(len(work)) as pool:

@@ -4,28 +4,32 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certloom.errors import UsageError, VerificationError
 from certloom.functions.certificates import built, table_rows
-from certloom.functions.codes import NO_CERTIFICATE
-from certloom.functions.entries import decoded
+from certloom.functions.entries import hashed
 from certloom.functions.merkle import CHUNK_LEVELS, CompactRange, subtree_roots, verify_consistency
-from certloom.operators.numbering import durable, numbered, pieces, together
+from certloom.operators.numbering import discard, durable, numbered, pieces, stored, together
 from certloom.operators.stats import SEEDS, batch_facts, bytes_per_entry, peak_bytes, require_room
-from certloom.sources.dataset import Dataset
+from certloom.sources.dataset import Dataset, Snapshot
 from certloom.sources.footers import canary
 from certloom.sources.schemas import TABLES
 
 #: Hashes and keys of one batch that are broadcast against the earlier batches; more are shuffled.
 BROADCAST_KEYS = 2_000_000
+#: Certificates whose ids are broadcast to their entries; of more, the entries are shuffled.
+BROADCAST_IDS = 500_000
+#: Batches that go through the same jobs; trees and manifests are theirs.
+TOGETHER = 8
 #: The share of its volume that a dataset may fill, and the setting that changes it.
 DISK_CAP, CAP_CONF = 0.85, "spark.certloom.diskCap"
+#: The tables that are not derived, in the order of their writes.
+SOURCES = ("entries", "chains", "vault", "quarantine")
 #: Columns whose Parquet files get bloom filters, by table.
 BLOOM = {"certs": ("sha256",), "names": ("name", "etld1")}
 
@@ -68,12 +72,12 @@ def extend_tree(tree: CompactRange, leaves: DataFrame, first: int, last: int) ->
     inner = subtree_roots(nodes.where(F.col("idx").between(low, high - 1))) if low < high else None
     for idx, h in edges:
         if inner is not None and idx >= high:
-            for r in inner.orderBy("idx").collect():  # one row for each `unit` entries
+            for r in sorted(inner.collect()):  # one row for each `unit` entries
                 out.append(bytes(r["hash"]), CHUNK_LEVELS)
             inner = None
         out.append(h)
     if inner is not None:
-        for r in inner.orderBy("idx").collect():
+        for r in sorted(inner.collect()):
             out.append(bytes(r["hash"]), CHUNK_LEVELS)
     return out
 
@@ -94,166 +98,225 @@ def _among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def read_entries(raw: DataFrame, log: str, tiled: bool = False) -> DataFrame:
-    """Raw entries (idx, leaf_input, extra_data) of a log decoded, once for all that an ingest does with them."""
-    return durable(decoded(raw.withColumn("log", F.lit(log)), tiled))
+    """Raw entries (idx, leaf_input, extra_data) of a log decoded and hashed, once for all that an ingest does with them."""
+    return stored(hashed(raw.withColumn("log", F.lit(log)), tiled))
+
+
+@dataclass
+class Batch:
+    """What one commit adds: raw entries of a log, and what is known of them."""
+
+    raw: DataFrame
+    log: str
+    head: Head | None = None
+    proof: list[bytes] | None = None
+    tiled: bool = False
+    fetch: dict | None = None
 
 
 def ingest_batches(dataset: Dataset, batches: Iterable[tuple[DataFrame, str]]) -> list[dict]:
     """Commits batches (raw entries, log) in order and returns their manifests.
 
-    Decoding needs no batch before it, so the entries of the next one are decoded while one is committed.
+    TOGETHER of them at a time go through the same jobs: each job costs its plan and its start, however few its rows.
     """
-    todo, out = list(batches), []
-    read = inheritable_thread_target(dataset.spark)(read_entries)
-    with ThreadPoolExecutor(1) as ahead:
-        nexts = [ahead.submit(read, *todo[0])] if todo else []
-        for at, (raw, log) in enumerate(todo):
-            rows = nexts[at].result()
-            nexts += [ahead.submit(read, *b) for b in todo[at + 1 : at + 2]]
-            out.append(ingest_batch(dataset, raw, log, rows=rows))
+    todo, out = [Batch(raw, log) for raw, log in batches], []
+    for at in range(0, len(todo), TOGETHER):
+        out += _ingest(dataset, todo[at : at + TOGETHER])
     return out
 
 
 def ingest_batch(
-    dataset: Dataset,
-    raw: DataFrame,
-    log: str,
-    head: Head | None = None,
-    proof: list[bytes] | None = None,
-    tiled: bool = False,
-    fetch: dict | None = None,
-    rows: DataFrame | None = None,
+    dataset: Dataset, raw: DataFrame, log: str, head: Head | None = None, proof: list[bytes] | None = None, tiled: bool = False, fetch: dict | None = None
 ) -> dict:
     """Commits raw entries (idx, leaf_input, extra_data) of one log and returns the manifest.
 
     The entries must follow the log's last batch without gaps. A batch committed before is
     returned as it is, so a repeated micro-batch changes nothing. Before anything is written the
-    volume must have room for it, and before the commit the written files are probed. rows: what
-    read_entries() makes of raw, where it is there already.
+    volume must have room for it, and before the commit the written files are probed.
 
     Earlier batches are scanned twice, for the hashes of certificates and for issuance keys, against
     the batch's own ones, which are broadcast: nothing of the earlier batches is shuffled.
     """
+    return _ingest(dataset, [Batch(raw, log, head, proof, tiled, fetch)])[0]
+
+
+def _ingest(dataset: Dataset, batches: list[Batch]) -> list[dict]:
+    """Commits batches in order, as if one by one: those before a wrong one are committed before it raises."""
+    spark = dataset.spark
+    made = together(spark, *[lambda b=b: read_entries(b.raw, b.log, b.tiled) for b in batches])
+    try:
+        out, new, wrong = _checked(dataset, batches, made)
+        if new:
+            committed = _commit(dataset, [batches[p] for p in new], _union(made[p].withColumn("part", F.lit(n)) for n, p in enumerate(new)), [out[p] for p in new])
+            for p, m in zip(new, committed, strict=True):
+                out[p].update(m)
+        if wrong:
+            raise wrong
+        return out
+    finally:
+        discard(*made)
+
+
+def _union(frames: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _checked(dataset: Dataset, batches: list[Batch], made: list[DataFrame]) -> tuple[list[dict], list[int], Exception | None]:
+    """(manifests, the places of those not committed before with what the entries tell of them, what is wrong with the next batch)."""
     snap = dataset.snapshot(allow_mixed=True)
-    rows = read_entries(raw, log, tiled) if rows is None else rows
+    per_part = _union(r.select(F.lit(p).alias("part"), "idx") for p, r in enumerate(made)).groupBy("part")
+    stats = {r["part"]: r for r in per_part.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.count_distinct("idx").alias("d")).collect()}
+    known = {(m["log"], m["first"], m["last"]): m for m in snap.batches}
+    nexts = {log: m["last"] + 1 for log, m in snap.tips().items()}
+    out, new = [], []
+    for p, b in enumerate(batches):
+        if p not in stats:
+            return out, new, UsageError("no entries to ingest")
+        first, last, n = stats[p]["first"], stats[p]["last"], stats[p]["n"]
+        m = known.get((b.log, first, last))
+        if m is None:
+            at = nexts.get(b.log, 0)
+            if first != at or last - first + 1 != n or stats[p]["d"] != n:
+                return out, new, VerificationError(f"entries {first} to {last} ({n} rows) do not follow entry {at - 1} of {b.log}")
+            m = known[b.log, first, last] = {"commit_seq": snap.as_of + len(new) + 1, "log": b.log, "first": first, "last": last, "entries": n}
+            nexts[b.log] = last + 1
+            new.append(p)
+        out.append(m)
+    return out, new, None
+
+
+def _trees(dataset: Dataset, snap: Snapshot, batches: list[Batch], rows: DataFrame, ms: list[dict]) -> list[CompactRange]:
+    """Each batch's tree, checked against its head: one log after another's entries, the logs side by side."""
+    tips, out = snap.tips(), {}
+
+    def of(log: str) -> None:
+        old = tips.get(log)
+        tree = CompactRange(old["tree"]["size"], [bytes.fromhex(x) for x in old["tree"]["compact_range"]]) if old else CompactRange()
+        for n, (b, m) in enumerate(zip(batches, ms, strict=True)):
+            if b.log == log:
+                out[n] = tree = extend_tree(tree, rows.where(F.col("part") == n), m["first"], m["last"])
+                check_tree(tree, b.head, b.proof)
+
+    together(dataset.spark, *[lambda log=log: of(log) for log in sorted({b.log for b in batches})])
+    return [out[n] for n in range(len(batches))]
+
+
+def _first_certificates(rows: DataFrame) -> DataFrame:
+    """Each certificate once (sha256, at: part, idx, slot, kind and digest of its first place, der)."""
     kinds = F.when(F.col("entry_type") == "precert", "precert").otherwise("final")
-    leafs = rows.where(F.col("cert").isNotNull() & ~F.coalesce(F.col("leaf_error").isin(*NO_CERTIFICATE), F.lit(False)))
-    seen = leafs.select("idx", F.lit(0).alias("slot"), kinds.alias("kind"), F.col("cert").alias("der"), "digest").unionByName(
-        rows.where(F.col("chain").isNotNull()).select(
-            "idx", F.posexplode("chain").alias("slot", "der"), F.lit("chain").alias("kind"), F.lit(None).cast("binary").alias("digest")
-        ).withColumn("slot", F.col("slot") + 1)
-    )
-    keyed = seen.withColumn("sha256", _sha(F.col("der")))
-    # each certificate once, where it is first seen
-    stats, firsts, sizes = together(
-        dataset.spark,
-        lambda: rows.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.count_distinct("idx").alias("d")).first(),
-        lambda: durable(first_seen(keyed, "sha256", "idx", "slot")),
-        lambda: bytes_per_entry(batch_facts(dataset, snap.as_of)).first() if snap.batches else None,
-    )
-    if not stats["n"]:
-        raise UsageError("no entries to ingest")
-    first, last = stats["first"], stats["last"]
-    for m in snap.batches:
-        if m["log"] == log and (m["first"], m["last"]) == (first, last):
-            return m
-    if first != snap.next_index(log) or last - first + 1 != stats["n"] or stats["d"] != stats["n"]:
-        raise VerificationError(f"entries {first} to {last} ({stats['n']} rows) do not follow entry {snap.next_index(log) - 1} of {log}")
+    leafs = rows.where(F.col("cert").isNotNull()).select("part", "idx", F.lit(0).alias("slot"), kinds.alias("kind"), "digest", "sha256", F.col("cert").alias("der"))
+    linked = rows.where(F.col("chain").isNotNull()).select("part", "idx", F.posexplode(F.arrays_zip("chain", "prints")).alias("slot", "c"))
+    chained = linked.select("part", "idx", (F.col("slot") + 1).alias("slot"), F.lit("chain").alias("kind"), F.lit(None).cast("binary").alias("digest"), F.col("c.prints").alias("sha256"), F.col("c.chain").alias("der"))
+    return leafs.unionByName(chained).groupBy("sha256").agg(F.min(F.struct("part", "idx", "slot", "kind", "digest")).alias("at"), F.first("der").alias("der"))
 
-    total, used = dataset.store.room()
-    if total:
-        need = peak_bytes(stats["n"], sizes["vault"] if sizes else SEEDS["vault"], sizes["parquet"] if sizes else SEEDS["parquet"])
-        require_room(total, used, need, float(dataset.spark.conf.get(CAP_CONF, str(DISK_CAP))))
 
-    old = snap.tips().get(log)
-    tree = CompactRange(old["tree"]["size"], [bytes.fromhex(x) for x in old["tree"]["compact_range"]]) if old else CompactRange()
+def _delta_bases(certs: DataFrame, precerts: DataFrame) -> DataFrame:
+    """certs with delta_base_cert_id: of a final certificate, the earliest precertificate with its issuance key logged before it.
 
-    def checked_tree() -> CompactRange:
-        out = extend_tree(tree, rows, first, last)
-        check_tree(out, head, proof)
-        return out
-
-    m: dict = {"commit_seq": snap.as_of + 1, "log": log, "first": first, "last": last, "committed_at": time.time()}
-    # certificates of earlier batches drop out
-    tree, known = together(
-        dataset.spark, checked_tree, lambda: durable(_among(dataset.table("vault", snap).select("sha256", F.col("cert_id").alias("known_id")), firsts, "sha256"))
-    )
-    new = firsts.join(known, "sha256", "left_anti").select("sha256", "at", F.col("at.idx").alias("idx"), F.col("at.slot").alias("slot"))
-    new = numbered(new, [F.col("idx"), F.col("slot")], "cert_id", snap.next_cert_id())
-    certs = durable(new.drop("at").join(keyed.drop("sha256"), ["idx", "slot"]))
-    ids = known.select("sha256", F.col("known_id").alias("cert_id")).unionByName(certs.select("sha256", "cert_id"))
-
-    entries = durable(
-        rows.withColumn("sha256", F.when(~F.coalesce(F.col("leaf_error").isin(*NO_CERTIFICATE), F.lit(False)), _sha(F.col("cert"))))
-        .join(ids, "sha256", "left")
-        .withColumn("prints", F.transform("chain", _sha))
-        .select(
-            "idx",
-            F.when(F.col("ts_ms") > 0, F.timestamp_millis(F.col("ts_ms").cast("long")).cast("timestamp_ntz")).alias("ct_ts"),
-            "entry_type",
-            "cert_id",
-            "leaf_hash",
-            F.substring("digest", 1, 16).alias("issuance_key"),
-            "issuer_key_hash",
-            F.when(F.col("chain").isNotNull(), chain_id(F.col("prints"))).alias("chain_id"),
-            "leaf_error",
-            "prints",
-        )
-    )
-    fresh = entries.where(F.col("chain_id").isNotNull()).select("chain_id", "prints").dropDuplicates(["chain_id"])
-    fresh = fresh.join(dataset.table("chains", snap).select("chain_id"), "chain_id", "left_anti")
-    chains = fresh.select("chain_id", F.posexplode("prints").alias("position", "sha256")).join(ids, "sha256").select("chain_id", "position", "cert_id")
-
-    # a final certificate's delta base: the earliest precertificate with its issuance key logged before it
-    keys = certs.where((F.col("kind") == "final") & F.col("digest").isNotNull()).select(F.substring("digest", 1, 16).alias("issuance_key")).distinct()
-    earlier = dataset.table("entries", snap).where(F.col("entry_type") == "precert").select("entry_type", "issuance_key", "cert_id", F.lit(-1).cast("long").alias("idx"))
-    precerts = (
-        _among(earlier, keys, "issuance_key")
-        .unionByName(entries.select("entry_type", "issuance_key", "cert_id", "idx"))
-        .where((F.col("entry_type") == "precert") & F.col("issuance_key").isNotNull() & F.col("cert_id").isNotNull())
-        .groupBy("issuance_key").agg(F.min(F.struct("idx", "cert_id")).alias("p"))
-    )
-    with_base = certs.withColumn("issuance_key", F.substring("digest", 1, 16)).join(precerts, "issuance_key", "left")
-    certs = durable(
-        with_base.withColumn("delta_base_cert_id", F.when((F.col("kind") == "final") & (F.col("p.idx") < F.col("idx")), F.col("p.cert_id"))).drop("p", "issuance_key", "digest")
+    precerts: issuance_key, part, idx, cert_id. Of earlier parts the least id is the earliest.
+    """
+    a_part = precerts.groupBy("issuance_key", "part").agg(F.min(F.struct("idx", "cert_id")).alias("p"), F.min("cert_id").alias("least"))
+    prior = a_part.groupBy("issuance_key").agg(F.collect_list(F.struct("part", "p", "least")).alias("prior"))  # a row a part
+    part, idx = F.col("part"), F.col("idx")
+    before = F.array_min(F.transform(F.filter("prior", lambda x: x["part"] < part), lambda x: x["least"]))
+    within = F.array_min(F.transform(F.filter("prior", lambda x: (x["part"] == part) & (x["p"]["idx"] < idx)), lambda x: x["p"]["cert_id"]))
+    found = certs.withColumn("issuance_key", F.substring("digest", 1, 16)).join(prior, "issuance_key", "left")
+    return found.withColumn("delta_base_cert_id", F.when(F.col("kind") == "final", F.coalesce(before, within))).drop("prior", "issuance_key", "digest")
+
+
+def _commit(dataset: Dataset, batches: list[Batch], rows: DataFrame, ms: list[dict]) -> list[dict]:
+    """Writes and commits batches that follow one another; rows: what is read of them, with their place as part."""
+    spark, snap = dataset.spark, dataset.snapshot(allow_mixed=True)
+    total, used = dataset.store.room()
+    if total:
+        sizes = bytes_per_entry(batch_facts(dataset, snap.as_of)).first() if snap.batches else None
+        need = peak_bytes(sum(m["entries"] for m in ms), sizes["vault"] if sizes else SEEDS["vault"], sizes["parquet"] if sizes else SEEDS["parquet"])
+        require_room(total, used, need, float(spark.conf.get(CAP_CONF, str(DISK_CAP))))
+
+    began = time.time()
+    trees, firsts = together(spark, lambda: _trees(dataset, snap, batches, rows, ms), lambda: stored(_first_certificates(rows)))
+    new, known = firsts.select("sha256", "at.*"), None
+    if snap.batches:  # certificates of earlier batches drop out
+        known = durable(_among(dataset.table("vault", snap).select("sha256", "cert_id"), firsts, "sha256"))
+        new = new.join(known, "sha256", "left_anti")
+    new = stored(numbered(new, [F.col("part"), F.col("idx"), F.col("slot")], "cert_id", snap.next_cert_id()))
+    ids = new.select("sha256", "cert_id")
+    ids = known.unionByName(ids) if known else ids
+    ends = {r["part"]: r for r in new.groupBy("part").agg(F.min("cert_id").alias("low"), F.max("cert_id").alias("high"), F.count("*").alias("n")).collect()}
+    n_certs = sum(r["n"] for r in ends.values())
+    few_ids = F.broadcast(ids) if (ids.count() if known else n_certs) <= BROADCAST_IDS else ids
+    entries = rows.join(few_ids, "sha256", "left").select(
+        "part",
+        "idx",
+        F.when(F.col("ts_ms") > 0, F.timestamp_millis(F.col("ts_ms").cast("long")).cast("timestamp_ntz")).alias("ct_ts"),
+        "entry_type",
+        "cert_id",
+        "leaf_hash",
+        F.substring("digest", 1, 16).alias("issuance_key"),
+        "issuer_key_hash",
+        "chain_id",
+        "leaf_error",
     )
+    fresh = rows.where(F.col("chain").isNotNull()).groupBy("chain_id").agg(F.min("part").alias("part"), F.first("prints").alias("prints"))
+    if snap.batches:
+        fresh = fresh.join(dataset.table("chains", snap).select("chain_id"), "chain_id", "left_anti")
+    chains = fresh.select("part", "chain_id", F.posexplode("prints").alias("position", "sha256")).join(few_ids, "sha256").select("part", "chain_id", "position", "cert_id")
+
+    precerts = entries.where(F.col("entry_type") == "precert").select("issuance_key", "part", "idx", "cert_id")
+    if snap.batches:
+        keys = new.where((F.col("kind") == "final") & F.col("digest").isNotNull()).select(F.substring("digest", 1, 16).alias("issuance_key")).distinct()
+        old = dataset.table("entries", snap).where(F.col("entry_type") == "precert").select("issuance_key", F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("idx"), "cert_id")
+        precerts = _among(old, keys, "issuance_key").unionByName(precerts)
+    based = _delta_bases(new, precerts.where(F.col("issuance_key").isNotNull() & F.col("cert_id").isNotNull()))
+    certs = stored(based.join(firsts.select("sha256", "der"), "sha256"))
 
-    ends = certs.agg(F.min("cert_id"), F.max("cert_id"), F.count("*"), F.coalesce(F.sum(F.octet_length("der")), F.lit(0)), F.count("delta_base_cert_id")).first()
     # parsing is far more work than a certificate's bytes tell; the files of its tables are few again
-    wide, few = pieces(certs, ends[2], 500), pieces(certs, ends[2], 20_000)
+    wide, few = pieces(certs, n_certs, 500), pieces(certs, n_certs, 20_000)
     versions = dataset.versions()
-    m["derived"] = {t: [versions[t]["active"]] for t in TABLES}
-    quarantined = rows.where(F.col("leaf_error").isNotNull())
+    # ids follow the batches
+    part_of = F.coalesce(*[F.when(F.col("cert_id").between(r["low"], r["high"]), F.lit(p)) for p, r in ends.items()], F.lit(None).cast("int")).alias("part")
+    parsed = None
 
     def derive() -> list:
-        parsed = durable(built(certs.repartition(wide, "cert_id")))
+        nonlocal parsed
+        parsed = stored(built(certs.repartition(wide, "cert_id")))
 
-        def one(t: str) -> dict:
-            return dataset.write(table_rows(parsed, t).coalesce(few), t, m, versions[t]["active"], bloom=BLOOM.get(t, ())) | {"version": versions[t]["active"]}
+        def one(t: str) -> list[dict]:
+            version = versions[t]["active"]
+            made = dataset.write_parts(table_rows(parsed, t).select("*", part_of).coalesce(few), t, ms, version, bloom=BLOOM.get(t, ()))
+            return [f | {"version": version} for f in made]
 
-        return together(dataset.spark, *[lambda t=t: one(t) for t in TABLES], lambda: table_rows(parsed, "certs").groupBy("parse_status").count().collect())
+        return together(spark, *[lambda t=t: one(t) for t in TABLES], lambda: table_rows(parsed, "certs").groupBy(part_of, "parse_status").count().collect())
 
-    (*derived, status), *written = together(
-        dataset.spark,
+    (*derived, statuses), in_vault, *written = together(
+        spark,
         derive,
-        lambda: dataset.write(entries.drop("prints"), "entries", m, sort=["idx"]),
-        lambda: dataset.write(chains, "chains", m, sort=["chain_id", "position"]),
-        lambda: dataset.write(certs, "vault", m, sort=["cert_id"], bloom=("sha256",)),
-        lambda: dataset.write(quarantined, "quarantine", m),
+        lambda: {r["part"]: r for r in certs.groupBy("part").agg(F.coalesce(F.sum(F.octet_length("der")), F.lit(0)).alias("bytes"), F.count("delta_base_cert_id").alias("delta")).collect()},
+        lambda: dataset.write_parts(entries, "entries", ms, sort=["idx"]),
+        lambda: dataset.write_parts(chains, "chains", ms, sort=["chain_id", "position"]),
+        lambda: dataset.write_parts(certs, "vault", ms, sort=["cert_id"], bloom=("sha256",)),
+        lambda: dataset.write_parts(rows.where(F.col("leaf_error").isNotNull()), "quarantine", ms),
     )
-    files = dict(zip(("entries", "chains", "vault", "quarantine"), written, strict=True)) | dict(zip(TABLES, derived, strict=True))
-    if files["entries"]["rows"] != stats["n"] or files["vault"]["rows"] != ends[2] or files["certs"]["rows"] != ends[2]:
-        raise VerificationError(f"rows read back differ: {files}")
-    m |= {
-        "entries": stats["n"],
-        "cert_id_range": [ends[0], ends[1]] if ends[2] else None,
-        "counts": {"entries": stats["n"], "new_certs": ends[2], "delta": ends[4], "vault_bytes": ends[3], "chains": files["chains"]["rows"]},
-        "parse_status": {r["parse_status"]: r["count"] for r in status},
-        "files": files,
-        "tree": {"size": tree.size, "root": tree.root().hex(), "compact_range": [n.hex() for n in tree.nodes]},
-        "head": {"size": head.size, "root": head.root.hex(), "timestamp": head.timestamp} if head else None,
-        "fetch": fetch or {},
-    }
-    together(dataset.spark, *[lambda t=t: canary(dataset, m, t, files[t].get("version"), ("sha256",) if t == "vault" else BLOOM.get(t, ())) for t in ("certs", "names", "vault", "entries")])
-    dataset.commit(m)
-    return m
+    out = []
+    for p, (b, m, tree) in enumerate(zip(batches, ms, trees, strict=True)):
+        files = {t: f[p] for t, f in zip((*SOURCES, *TABLES), (*written, *derived), strict=True)}
+        n = ends[p]["n"] if p in ends else 0
+        if files["entries"]["rows"] != m["entries"] or files["vault"]["rows"] != n or files["certs"]["rows"] != n:
+            raise VerificationError(f"rows read back differ: {files}")
+        out.append(m | {
+            "committed_at": began,
+            "derived": {t: [versions[t]["active"]] for t in TABLES},
+            "cert_id_range": [ends[p]["low"], ends[p]["high"]] if n else None,
+            "counts": {"entries": m["entries"], "new_certs": n, "delta": in_vault[p]["delta"] if n else 0, "vault_bytes": in_vault[p]["bytes"] if n else 0, "chains": files["chains"]["rows"]},
+            "parse_status": {r["parse_status"]: r["count"] for r in statuses if r["part"] == p},
+            "files": files,
+            "tree": {"size": tree.size, "root": tree.root().hex(), "compact_range": [x.hex() for x in tree.nodes]},
+            "head": {"size": b.head.size, "root": b.head.root.hex(), "timestamp": b.head.timestamp} if b.head else None,
+            "fetch": b.fetch or {},
+        })
+    probes = [(m, t) for m in out for t in ("certs", "names", "vault", "entries")]
+    together(spark, *[lambda m=m, t=t: canary(dataset, m, t, m["files"][t].get("version"), ("sha256",) if t == "vault" else BLOOM.get(t, ())) for m, t in probes])
+    for m in out:
+        dataset.commit(m)
+    discard(firsts, new, certs, parsed)
+    return out

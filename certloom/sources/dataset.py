@@ -7,10 +7,11 @@ A batch exists when its manifest does; readers never list data folders.
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.errors import DatasetError, VerificationError
@@ -37,6 +38,20 @@ def content_sum(names: list[str]) -> Column:
     return F.concat_ws(":", F.count("*").cast("string"), total.cast("string"))
 
 
+def _typed(df: DataFrame, table: str, version: int | None, *more: Column) -> DataFrame:
+    return df.select(*[F.col(n).cast(t).alias(n) for n, t in columns(ddl_of(table, version))], *more)
+
+
+def _writer(df: DataFrame, bloom: tuple[str, ...]) -> DataFrameWriter:
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
+    for c in {*PLAIN, *bloom}:
+        # a column that is all dictionary pages would get no filter
+        writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
+
+
 @dataclass
 class Snapshot:
     """A fixed list of committed batches and the version of each derived table to read."""
@@ -177,19 +192,43 @@ class Dataset:
         """Writes a batch's part of a table and reads it back: rows, bytes, and a hash of the content. Columns are cast to the declared types."""
         folder = self.folder(table, m, version)
         path, names = self.store.path(folder), [n for n, _ in columns(ddl_of(table, version))]
-        typed = df.select(*[F.col(n).cast(t).alias(n) for n, t in columns(ddl_of(table, version))])
+        typed = _typed(df, table, version)
         if sort:
             typed = typed.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        writer = typed.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
-        for c in {*PLAIN, *bloom}:
-            # a column that is all dictionary pages would get no filter
-            writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
-        for c in bloom:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.parquet(path)
+        _writer(typed, bloom).mode("overwrite").parquet(path)
         found = self.spark.read.schema(ddl_of(table, version)).parquet(path).agg(F.count("*").alias("n"), content_sum(names).alias("c")).first()
         return {"rows": found["n"], "bytes": self.store.size(folder), "content": found["c"]}
 
+    def write_parts(self, df: DataFrame, table: str, ms: list[dict], version: int | None = None, sort: list[str] | None = None, bloom: tuple[str, ...] = ()) -> list[dict]:
+        """write() of several batches in one job; df's column part is a row's place in ms."""
+        if len(ms) == 1 or not all(re.fullmatch(r"[\w.-]+", m["log"], re.ASCII) for m in ms):  # Spark would write other folders for such names
+            return [self.write(df.where(F.col("part") == p), table, m, version, sort, bloom) for p, m in enumerate(ms)]
+        folders = [self.folder(table, m, version) for m in ms]
+        for f in folders:
+            self.store.delete(f)
+        place = lambda *values: F.coalesce(*[F.when(F.col("part") == p, F.lit(v)) for p, v in enumerate(values)])
+        by = [place(*[m["log"] for m in ms]).alias("log"), place(*[batch_name(m["first"], m["last"]) for m in ms]).alias("batch")]
+        typed = _typed(df, table, version, *by)
+        if sort:
+            typed = typed.repartitionByRange("log", "batch", *sort).sortWithinPartitions("log", "batch", *sort)
+        base = self.store.path(folders[0].split("/")[0])
+        _writer(typed, bloom).partitionBy("log", "batch").mode("append").parquet(base)
+        there = [f for f in folders if self.store.exists(f)]
+        found = {}
+        if there:
+            rows = self.spark.read.schema(ddl_of(table, version) + ", log string, batch string").option("basePath", base).parquet(*[self.store.path(f) for f in there])
+            facts = rows.groupBy("log", "batch").agg(F.count("*").alias("n"), content_sum([n for n, _ in columns(ddl_of(table, version))]).alias("c")).collect()
+            found = {(r["log"], r["batch"]): r for r in facts}
+        out = []
+        for m, f in zip(ms, folders, strict=True):
+            if f in there:
+                r = found[m["log"], batch_name(m["first"], m["last"])]
+                out.append({"rows": r["n"], "bytes": self.store.size(f), "content": r["c"]})
+            else:  # a folder without rows has a file all the same
+                empty = self.spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in columns(ddl_of(table, version))])
+                out.append(self.write(empty, table, m, version, sort, bloom))
+        return out
+
     def commit(self, m: dict) -> None:
         """Makes a batch visible: the manifest is written last, and never over another."""
         self.store.write_json(f"manifests/{m['commit_seq']:012d}.json", m)
