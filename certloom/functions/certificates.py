@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -39,10 +40,16 @@ def cert_row(c: x509.Certificate, cert_id: int, sha256: bytes, kind: str, delta_
     )
 
 
+@lru_cache(16)
+def _names(dns: tuple, ips: tuple, cns: tuple, psl) -> list[tuple]:
+    """name_rows(), kept for the certificate beside its precertificate."""
+    return list(name_rows(dns, ips, cns, psl))
+
+
 def all_rows(c: x509.Certificate, cert_id: int, sha256: bytes, kind: str, delta_base: int | None, psl) -> dict[str, list[tuple]]:
     """The rows of one certificate in every table."""
     out = {"certs": [cert_row(c, cert_id, sha256, kind, delta_base)]}
-    out["names"] = [(cert_id, *r) for r in name_rows(c.dns_names, c.ip_addresses, c.subject.values(x509.COMMON_NAME), psl)]
+    out["names"] = [(cert_id, *r) for r in _names(tuple(c.dns_names), tuple(c.ip_addresses), tuple(c.subject.values(x509.COMMON_NAME)), psl)]
     return out | {t: [(cert_id, *r) for r in rows] for t, rows in extensions.rows(c).items()}
 
 

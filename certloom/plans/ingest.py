@@ -221,7 +221,13 @@ def _delta_bases(certs: DataFrame, precerts: DataFrame) -> DataFrame:
     before = F.array_min(F.transform(F.filter("prior", lambda x: x["part"] < part), lambda x: x["least"]))
     within = F.array_min(F.transform(F.filter("prior", lambda x: (x["part"] == part) & (x["p"]["idx"] < idx)), lambda x: x["p"]["cert_id"]))
     found = certs.withColumn("issuance_key", F.substring("digest", 1, 16)).join(prior, "issuance_key", "left")
-    return found.withColumn("delta_base_cert_id", F.when(F.col("kind") == "final", F.coalesce(before, within))).drop("prior", "issuance_key", "digest")
+    return found.withColumn("delta_base_cert_id", F.when(F.col("kind") == "final", F.coalesce(before, within))).drop("prior", "digest")
+
+
+def side_by_side(certs: DataFrame, n: int) -> DataFrame:
+    """certs dealt to n partitions, a precertificate beside its certificate: what they share is parsed once."""
+    pair = F.coalesce("issuance_key", F.substring("sha256", 1, 16))
+    return certs.withColumn("pair", pair).repartition(n, "pair").sortWithinPartitions("pair")
 
 
 def _commit(dataset: Dataset, batches: list[Batch], rows: DataFrame, ms: list[dict]) -> list[dict]:
@@ -279,7 +285,7 @@ def _commit(dataset: Dataset, batches: list[Batch], rows: DataFrame, ms: list[di
 
     def derive() -> list:
         nonlocal parsed
-        parsed = stored(built(certs.repartition(wide, "cert_id")))
+        parsed = stored(built(side_by_side(certs, wide)))
 
         def one(t: str) -> list[dict]:
             version = versions[t]["active"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from certloom import log_queries
 from certloom.engine import Engine
 from certloom.errors import VerificationError
-from certloom.functions import entries
+from certloom.functions import certificates, entries, x509
+from certloom.functions.names import load_suffixes
 from certloom.plans import ingest
 from certloom.queries import Tables
 from certloom.sources import synthetic
@@ -74,3 +75,20 @@ def test_a_capture_needs_no_dataset(spark, monkeypatch):
     monkeypatch.setattr(log_queries, "engine", None)
     t = Tables(spark, SMALL)
     assert log_queries.log_captures(t).count() == t.orders.where(F.col("o_orderkey") % 2 == 0).count()
+
+
+def test_a_precertificate_lies_beside_its_certificate_and_shares_its_parts(spark):
+    rows = [(i, bytes([i]) * 32, bytes([i % 7]) * 16) for i in range(14)] + [(20, b"a" * 32, None), (21, b"b" * 32, None)]
+    dealt = ingest.side_by_side(spark.createDataFrame(rows, "cert_id long, sha256 binary, issuance_key binary"), 3)
+    parts = dealt.select("cert_id", "issuance_key", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["cert_id"] for r in parts) == sorted(r[0] for r in rows)
+    for p in {r["p"] for r in parts}:
+        keys = [r["issuance_key"] for r in parts if r["p"] == p and r["issuance_key"]]
+        assert keys[::2] == keys[1::2]
+    _, pre, final = synthetic.certificate(12, "UNIT", 3)
+    readers = x509._key, x509._san, certificates._names
+    of = lambda der: certificates.all_rows(x509.parse(der), 1, b"", "final", None, load_suffixes())
+    first, before = of(pre), [r.cache_info().hits for r in readers]
+    second = of(final)
+    assert all(r.cache_info().hits > b for r, b in zip(readers, before, strict=True))
+    assert first["names"] == second["names"] and first["names"] and first["certs"] != second["certs"]
