@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from certloom.errors import UsageError, VerificationError
 from certloom.functions.codes import codes_table, explain
+from certloom.functions.entries import Made
 from certloom.operators import stats
 from certloom.operators.fetch import Fetcher
 from certloom.operators.query import Query, parse_bar
@@ -16,7 +17,7 @@ from certloom.operators.search import search, search_page
 from certloom.operators.verify import verify
 from certloom.plans import rebuild as rebuilding
 from certloom.plans.heads import Heads
-from certloom.plans.ingest import Head, ingest_batch, ingest_batches
+from certloom.plans.ingest import Head, ingest_batch, ingest_batches, ingest_parts
 from certloom.sources import sample
 from certloom.sources.ctlog import LogSource, open_log
 from certloom.sources.dataset import Dataset
@@ -92,6 +93,9 @@ class Engine:
     def ingest_batches(self, batches: Iterable[tuple[DataFrame, str]]) -> list[dict]:
         return ingest_batches(self.dataset, batches)
 
+    def ingest_parts(self, raw: DataFrame | Made, logs: list[str]) -> list[dict]:
+        return ingest_parts(self.dataset, raw, logs)
+
     def start_stream(self, stream: DataFrame, log: str, checkpoint: str, **how):
         return follow(self.dataset, stream, log, checkpoint, **how)
 

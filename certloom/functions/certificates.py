@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from certloom.functions import extensions, x509
 from certloom.functions.names import name_rows, session_suffixes
+from certloom.functions.quiet import uncollected
 from certloom.sources.schemas import TABLES, columns, ddl_of
 
 CERT_INPUT = "cert_id long, sha256 binary, kind string, delta_base_cert_id long, der binary"
@@ -67,11 +68,13 @@ def built(certs: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 2000):
                 out: dict[str, list] = {t: [] for t in TABLES}
-                for r in batch.slice(low, 2000).to_pylist():
-                    rows = all_rows(x509.parse(r["der"]), r["cert_id"], r["sha256"], r["kind"], r["delta_base_cert_id"], psl.value)
-                    for t in TABLES:
-                        out[t].append(rows[t])
-                yield pa.RecordBatch.from_arrays([_lists(out[t], kinds[t]) for t in TABLES], names=list(TABLES))
+                with uncollected():
+                    for cert_id, sha256, kind, base, der in zip(*[c.to_pylist() for c in batch.slice(low, 2000).columns], strict=True):
+                        rows = all_rows(x509.parse(der), cert_id, sha256, kind, base, psl.value)
+                        for t in TABLES:
+                            out[t].append(rows[t])
+                    arrays = [_lists(out[t], kinds[t]) for t in TABLES]
+                yield pa.RecordBatch.from_arrays(arrays, names=list(TABLES))
 
     return certs.select("cert_id", "sha256", "kind", "delta_base_cert_id", "der").mapInArrow(work, schema)
 

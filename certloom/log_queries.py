@@ -25,7 +25,7 @@ from certloom.queries import Tables, query
 from certloom.sources import ctlog, sample
 from certloom.sources.dataset import entry_certs
 from certloom.sources.loglist import read_log_list
-from certloom.sources.synthetic import RAW, raw_entries
+from certloom.sources.synthetic import RAW, made_entries, raw_entries
 from certloom.streaming.follow import entry_sessions, entry_windows
 
 #: One entry in so many is malformed.
@@ -49,8 +49,8 @@ def engine(t: Tables) -> Engine:
         e = Engine(t.spark, f"{scratch(t.spark)}/orders-log-{len(_ENGINES)}", create=True)
         rows = durable(_rows(t))
         n_a = rows.where(F.col("log") == "a").count()
-        batches = ("a", F.col("idx") < n_a // 2), ("a", F.col("idx") >= n_a // 2), ("b", F.lit(True))
-        e.ingest_batches((raw_entries(rows.where((F.col("log") == log) & part), MALFORMED), log) for log, part in batches)
+        part = F.when(F.col("log") == "b", 2).when(F.col("idx") < n_a // 2, 0).otherwise(1)
+        e.ingest_parts(made_entries(rows.withColumn("part", part), MALFORMED), ["a", "a", "b"])
         _ENGINES[key] = e
     return _ENGINES[key]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from certloom.errors import UsageError, VerificationError
 from certloom.functions.certificates import built, table_rows
-from certloom.functions.entries import hashed
+from certloom.functions.entries import Made, hashed
 from certloom.functions.merkle import CHUNK_LEVELS, CompactRange, subtree_roots, verify_consistency
 from certloom.operators.numbering import discard, durable, numbered, pieces, stored, together
 from certloom.operators.stats import SEEDS, batch_facts, bytes_per_entry, peak_bytes, require_room
@@ -106,7 +106,7 @@ def read_entries(raw: DataFrame, log: str, tiled: bool = False) -> DataFrame:
 class Batch:
     """What one commit adds: raw entries of a log, and what is known of them."""
 
-    raw: DataFrame
+    raw: DataFrame | None
     log: str
     head: Head | None = None
     proof: list[bytes] | None = None
@@ -125,6 +125,31 @@ def ingest_batches(dataset: Dataset, batches: Iterable[tuple[DataFrame, str]]) -
     return out
 
 
+def ingest_parts(dataset: Dataset, raw: DataFrame | Made, logs: list[str]) -> list[dict]:
+    """ingest_batches() of one table: raw entries with the column part (int), the place of their batch's log in logs.
+
+    One pass decodes the batches: entries of one certificate that lie side by side are decoded together, whichever batch has them.
+    """
+    out = []
+    for at in range(0, len(logs), TOGETHER):
+        some, later = logs[at : at + TOGETHER], list(range(at + TOGETHER, len(logs)))
+
+        def read(parts: list[int], at=at, some=some, later=later) -> DataFrame:
+            if at or len(parts) < len(some):
+                here = raw.where(F.col("part").isin([at + p for p in parts]))
+            else:  # and what is of no batch, which is refused
+                here = raw.where(~F.coalesce(F.col("part").isin(later), F.lit(False))) if later else raw
+            named = here.withColumn("log", _placed(F.col("part") - at, some))
+            return stored(hashed(named.withColumn("part", F.coalesce(_placed(F.col("part") - at, range(len(some))), F.lit(-1)))))
+
+        out += _ingest(dataset, [Batch(None, log) for log in some], read)
+    return out
+
+
+def _placed(place: Column, values: Iterable) -> Column:
+    return F.coalesce(*[F.when(place == p, F.lit(v)) for p, v in enumerate(values)])
+
+
 def ingest_batch(
     dataset: Dataset, raw: DataFrame, log: str, head: Head | None = None, proof: list[bytes] | None = None, tiled: bool = False, fetch: dict | None = None
 ) -> dict:
@@ -140,14 +165,31 @@ def ingest_batch(
     return _ingest(dataset, [Batch(raw, log, head, proof, tiled, fetch)])[0]
 
 
-def _ingest(dataset: Dataset, batches: list[Batch]) -> list[dict]:
-    """Commits batches in order, as if one by one: those before a wrong one are committed before it raises."""
+def _ingest(dataset: Dataset, batches: list[Batch], read: Callable[[list[int]], DataFrame] | None = None) -> list[dict]:
+    """Commits batches in order, as if one by one: those before a wrong one are committed before it raises.
+
+    read: the decoded entries of some of the batches, by their places, in one table with the place as part.
+    """
     spark = dataset.spark
-    made = together(spark, *[lambda b=b: read_entries(b.raw, b.log, b.tiled) for b in batches])
+    if read:
+        made = [read(list(range(len(batches))))]
+        rows = made[0]
+    else:
+        made = together(spark, *[lambda b=b: read_entries(b.raw, b.log, b.tiled) for b in batches])
+        rows = _union(r.withColumn("part", F.lit(p)) for p, r in enumerate(made))
     try:
-        out, new, wrong = _checked(dataset, batches, made)
+        # most often all batches are new and right: what is known of them and their certificates are found side by side
+        (out, new, wrong), firsts = together(spark, lambda: _checked(dataset, batches, rows), lambda: stored(_first_certificates(rows)))
+        made.append(firsts)
         if new:
-            committed = _commit(dataset, [batches[p] for p in new], _union(made[p].withColumn("part", F.lit(n)) for n, p in enumerate(new)), [out[p] for p in new])
+            if read and new[-1] >= len(new):  # what a batch committed before has of the bytes is not with the others
+                made.append(read(new))
+                rows = made[-1]
+            if len(new) < len(batches):
+                rows = rows.where(F.col("part").isin(new)).withColumn("part", F.coalesce(*[F.when(F.col("part") == p, F.lit(n)) for n, p in enumerate(new)]))
+                firsts = stored(_first_certificates(rows))
+                made.append(firsts)
+            committed = _commit(dataset, [batches[p] for p in new], rows, firsts, [out[p] for p in new])
             for p, m in zip(new, committed, strict=True):
                 out[p].update(m)
         if wrong:
@@ -161,11 +203,12 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _checked(dataset: Dataset, batches: list[Batch], made: list[DataFrame]) -> tuple[list[dict], list[int], Exception | None]:
+def _checked(dataset: Dataset, batches: list[Batch], rows: DataFrame) -> tuple[list[dict], list[int], Exception | None]:
     """(manifests, the places of those not committed before with what the entries tell of them, what is wrong with the next batch)."""
     snap = dataset.snapshot(allow_mixed=True)
-    per_part = _union(r.select(F.lit(p).alias("part"), "idx") for p, r in enumerate(made)).groupBy("part")
-    stats = {r["part"]: r for r in per_part.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.count_distinct("idx").alias("d")).collect()}
+    stats = {r["part"]: r for r in rows.groupBy("part").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.count_distinct("idx").alias("d")).collect()}
+    if stats.keys() - set(range(len(batches))):
+        return [], [], UsageError("entries of no batch")
     known = {(m["log"], m["first"], m["last"]): m for m in snap.batches}
     nexts = {log: m["last"] + 1 for log, m in snap.tips().items()}
     out, new = [], []
@@ -230,8 +273,8 @@ def side_by_side(certs: DataFrame, n: int) -> DataFrame:
     return certs.withColumn("pair", pair).repartition(n, "pair").sortWithinPartitions("pair")
 
 
-def _commit(dataset: Dataset, batches: list[Batch], rows: DataFrame, ms: list[dict]) -> list[dict]:
-    """Writes and commits batches that follow one another; rows: what is read of them, with their place as part."""
+def _commit(dataset: Dataset, batches: list[Batch], rows: DataFrame, firsts: DataFrame, ms: list[dict]) -> list[dict]:
+    """Writes and commits batches that follow one another; rows: what is read of them, with their place as part; firsts: their first certificates."""
     spark, snap = dataset.spark, dataset.snapshot(allow_mixed=True)
     total, used = dataset.store.room()
     if total:
@@ -240,41 +283,46 @@ def _commit(dataset: Dataset, batches: list[Batch], rows: DataFrame, ms: list[di
         require_room(total, used, need, float(spark.conf.get(CAP_CONF, str(DISK_CAP))))
 
     began = time.time()
-    trees, firsts = together(spark, lambda: _trees(dataset, snap, batches, rows, ms), lambda: stored(_first_certificates(rows)))
-    new, known = firsts.select("sha256", "at.*"), None
-    if snap.batches:  # certificates of earlier batches drop out
-        known = durable(_among(dataset.table("vault", snap).select("sha256", "cert_id"), firsts, "sha256"))
-        new = new.join(known, "sha256", "left_anti")
-    new = stored(numbered(new, [F.col("part"), F.col("idx"), F.col("slot")], "cert_id", snap.next_cert_id()))
-    ids = new.select("sha256", "cert_id")
-    ids = known.unionByName(ids) if known else ids
-    ends = {r["part"]: r for r in new.groupBy("part").agg(F.min("cert_id").alias("low"), F.max("cert_id").alias("high"), F.count("*").alias("n")).collect()}
-    n_certs = sum(r["n"] for r in ends.values())
-    few_ids = F.broadcast(ids) if (ids.count() if known else n_certs) <= BROADCAST_IDS else ids
-    entries = rows.join(few_ids, "sha256", "left").select(
-        "part",
-        "idx",
-        F.when(F.col("ts_ms") > 0, F.timestamp_millis(F.col("ts_ms").cast("long")).cast("timestamp_ntz")).alias("ct_ts"),
-        "entry_type",
-        "cert_id",
-        "leaf_hash",
-        F.substring("digest", 1, 16).alias("issuance_key"),
-        "issuer_key_hash",
-        "chain_id",
-        "leaf_error",
-    )
-    fresh = rows.where(F.col("chain").isNotNull()).groupBy("chain_id").agg(F.min("part").alias("part"), F.first("prints").alias("prints"))
-    if snap.batches:
-        fresh = fresh.join(dataset.table("chains", snap).select("chain_id"), "chain_id", "left_anti")
-    chains = fresh.select("part", "chain_id", F.posexplode("prints").alias("position", "sha256")).join(few_ids, "sha256").select("part", "chain_id", "position", "cert_id")
-
-    precerts = entries.where(F.col("entry_type") == "precert").select("issuance_key", "part", "idx", "cert_id")
-    if snap.batches:
-        keys = new.where((F.col("kind") == "final") & F.col("digest").isNotNull()).select(F.substring("digest", 1, 16).alias("issuance_key")).distinct()
-        old = dataset.table("entries", snap).where(F.col("entry_type") == "precert").select("issuance_key", F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("idx"), "cert_id")
-        precerts = _among(old, keys, "issuance_key").unionByName(precerts)
-    based = _delta_bases(new, precerts.where(F.col("issuance_key").isNotNull() & F.col("cert_id").isNotNull()))
-    certs = stored(based.join(firsts.select("sha256", "der"), "sha256"))
+
+    def linked() -> tuple:
+        """The new certificates with ids and bases, the ids' ranges by part, and the rows of entries and chains."""
+        new, known = firsts.select("sha256", "at.*"), None
+        if snap.batches:  # certificates of earlier batches drop out
+            known = durable(_among(dataset.table("vault", snap).select("sha256", "cert_id"), firsts, "sha256"))
+            new = new.join(known, "sha256", "left_anti")
+        new = stored(numbered(new, [F.col("part"), F.col("idx"), F.col("slot")], "cert_id", snap.next_cert_id()))
+        ids = new.select("sha256", "cert_id")
+        ids = known.unionByName(ids) if known else ids
+        ends = {r["part"]: r for r in new.groupBy("part").agg(F.min("cert_id").alias("low"), F.max("cert_id").alias("high"), F.count("*").alias("n")).collect()}
+        n_certs = sum(r["n"] for r in ends.values())
+        few_ids = F.broadcast(ids) if (ids.count() if known else n_certs) <= BROADCAST_IDS else ids
+        entries = rows.join(few_ids, "sha256", "left").select(
+            "part",
+            "idx",
+            F.when(F.col("ts_ms") > 0, F.timestamp_millis(F.col("ts_ms").cast("long")).cast("timestamp_ntz")).alias("ct_ts"),
+            "entry_type",
+            "cert_id",
+            "leaf_hash",
+            F.substring("digest", 1, 16).alias("issuance_key"),
+            "issuer_key_hash",
+            "chain_id",
+            "leaf_error",
+        )
+        fresh = rows.where(F.col("chain").isNotNull()).groupBy("chain_id").agg(F.min("part").alias("part"), F.first("prints").alias("prints"))
+        if snap.batches:
+            fresh = fresh.join(dataset.table("chains", snap).select("chain_id"), "chain_id", "left_anti")
+        chains = fresh.select("part", "chain_id", F.posexplode("prints").alias("position", "sha256")).join(few_ids, "sha256").select("part", "chain_id", "position", "cert_id")
+
+        precerts = entries.where(F.col("entry_type") == "precert").select("issuance_key", "part", "idx", "cert_id")
+        if snap.batches:
+            keys = new.where((F.col("kind") == "final") & F.col("digest").isNotNull()).select(F.substring("digest", 1, 16).alias("issuance_key")).distinct()
+            old = dataset.table("entries", snap).where(F.col("entry_type") == "precert").select("issuance_key", F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("idx"), "cert_id")
+            precerts = _among(old, keys, "issuance_key").unionByName(precerts)
+        based = _delta_bases(new, precerts.where(F.col("issuance_key").isNotNull() & F.col("cert_id").isNotNull()))
+        certs = stored(based.join(firsts.select("sha256", "der"), "sha256"))
+        return new, certs, ends, n_certs, entries, chains
+
+    trees, (new, certs, ends, n_certs, entries, chains) = together(spark, lambda: _trees(dataset, snap, batches, rows, ms), linked)
 
     # parsing is far more work than a certificate's bytes tell; the files of its tables are few again
     wide, few = pieces(certs, n_certs, 500), pieces(certs, n_certs, 20_000)
@@ -324,5 +372,5 @@ def _commit(dataset: Dataset, batches: list[Batch], rows: DataFrame, ms: list[di
     together(spark, *[lambda m=m, t=t: canary(dataset, m, t, m["files"][t].get("version"), ("sha256",) if t == "vault" else BLOOM.get(t, ())) for m, t in probes])
     for m in out:
         dataset.commit(m)
-    discard(firsts, new, certs, parsed)
+    discard(new, certs, parsed)
     return out
