@@ -11,6 +11,10 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes that a Parquet writer keeps until it writes them, a row group. Spark does not count them as a task's memory: by Parquet's own
+#: size, 128 MB, as many tasks as a process has cores may take all but a twentieth of its heap once their rows are many.
+ROW_GROUP = 16 << 20
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder of checkpoints; a local session without spark.checkpoint.dir gets a temporary one."""
@@ -34,7 +38,7 @@ def durable(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df as a table under the folder of checkpoints, of which a reader takes only the columns it needs."""
     path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,6 +22,8 @@ from certloom.sources.store import Store
 GRACE_SECONDS = 24 * 3600
 #: Rows of one file at most, some 500 MB of certificates.
 FILE_ROWS = 500_000
+#: Bytes of one row group, which its writer keeps until then (see operators/numbering.py); each has bloom filters of 1 MB.
+ROW_GROUP = 32 << 20
 #: Columns written without a dictionary in every table: Parquet's writers in one JVM share the settings of
 #: the one opened last, so those of parts that are written side by side must agree.
 PLAIN = ("sha256", "name", "etld1")
@@ -43,7 +45,7 @@ def _typed(df: DataFrame, table: str, version: int | None, *more: Column) -> Dat
 
 
 def _writer(df: DataFrame, bloom: tuple[str, ...]) -> DataFrameWriter:
-    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).option("parquet.block.size", ROW_GROUP)
     for c in {*PLAIN, *bloom}:
         # a column that is all dictionary pages would get no filter
         writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
