@@ -11,8 +11,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes that a Parquet writer keeps until it writes them, a row group. Spark does not count them as a task's memory: by Parquet's own
-#: size, 128 MB, as many tasks as a process has cores may take all but a twentieth of its heap once their rows are many.
+#: Bytes of a row group, which a Parquet writer keeps until it writes them and a reader takes at once. Spark does not count them as a task's
+#: memory: with Parquet's own size, 128 MB, the tasks of a process may take all but a twentieth of its heap once their rows are many.
 ROW_GROUP = 16 << 20
 
 

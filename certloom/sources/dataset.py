@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.errors import DatasetError, VerificationError
+from certloom.operators.numbering import ROW_GROUP
 from certloom.sources.schemas import DERIVED, SOURCE, TABLES, columns, ddl_of, schema_hash
 from certloom.sources.store import Store
 
@@ -22,8 +23,6 @@ from certloom.sources.store import Store
 GRACE_SECONDS = 24 * 3600
 #: Rows of one file at most, some 500 MB of certificates.
 FILE_ROWS = 500_000
-#: Bytes of one row group, which its writer keeps until then (see operators/numbering.py); each has bloom filters of 1 MB.
-ROW_GROUP = 32 << 20
 #: Columns written without a dictionary in every table: Parquet's writers in one JVM share the settings of
 #: the one opened last, so those of parts that are written side by side must agree.
 PLAIN = ("sha256", "name", "etld1")
